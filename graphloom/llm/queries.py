@@ -32,8 +32,27 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places in sequences of 2048 tokens."""
+    from .bpe import read_ranks
+    from .packing import pack_documents
+
+    return pack_documents(_table(spark, sf_dir, "documents"), read_ranks(_vocabulary()))
+
+
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article of every page."""
+    from .html import extract_main_text
+
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    done = extract_main_text(pages).drop("html")
+    return done.withColumn("n_chars", F.length("text").cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op8_best_fit": op8_best_fit,
+    "op10_main_text": op10_main_text,
 }
 
 SQL: dict[str, str] = {}
