@@ -28,9 +28,9 @@ from .textblocks import blocks
 #: Tokens of a sequence.
 CAPACITY = 2048
 #: Bins open at a time.
-OPEN_BINS = 512
+OPEN_BINS = 4096
 #: Pieces put in order of length before they are packed.
-BATCH_PIECES = 1 << 16
+BATCH_PIECES = 1 << 13
 
 
 class BestFit:

@@ -32,6 +32,18 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base measures of every document and whether the cascade keeps it."""
+    from .quality import RULES, first_rejection, in_order, measure, with_features
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = in_order(RULES, measure(docs, RULES))
+    done = with_features(docs).withColumn("base_failed", (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30))
+    rejected = first_rejection(rules, F.coalesce("text", F.lit("")))
+    kept = F.when(F.col("base_failed"), False).otherwise(rejected.isNull())
+    return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
+
+
 def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces and their places in sequences of 2048 tokens."""
     from .bpe import read_ranks
@@ -51,6 +63,7 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op5_quality": op5_quality,
     "op8_best_fit": op8_best_fit,
     "op10_main_text": op10_main_text,
 }
