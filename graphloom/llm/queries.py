@@ -32,6 +32,22 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: counts of the fixed patterns, their digest, all spans."""
+    from .secrets import find_secrets
+
+    found = find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+    def count(kind: str):
+        return F.size(F.filter("secrets", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
+
+    base = F.filter("secrets", lambda s: s.kind != "learned")
+    return found.select("doc_id", *map(count, ("assign", "access", "hex")), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base measures of every document and whether the cascade keeps it."""
     from .quality import RULES, first_rejection, in_order, measure, with_features
@@ -63,6 +79,7 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op4_secrets": op4_secrets,
     "op5_quality": op5_quality,
     "op8_best_fit": op8_best_fit,
     "op10_main_text": op10_main_text,
