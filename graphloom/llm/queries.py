@@ -68,6 +68,14 @@ def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), read_ranks(_vocabulary()))
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that repeat earlier ones, and the digest of the words left."""
+    from .substrings import remove_repeats
+
+    done = remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), joined=True)
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The article of every page."""
     from .html import extract_main_text
@@ -82,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secrets": op4_secrets,
     "op5_quality": op5_quality,
     "op8_best_fit": op8_best_fit,
+    "op9_substrings": op9_substrings,
     "op10_main_text": op10_main_text,
 }
 
