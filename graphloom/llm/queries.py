@@ -32,6 +32,14 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of every document: 4-word shingles, similarity of 0.85."""
+    from .jaccard import near_duplicates
+
+    found = near_duplicates(_table(spark, sf_dir, "documents"), size=4, percent=85)
+    return found.select(F.col("key").alias("doc_id"), "n_shingles", "component_id")
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: counts of the fixed patterns, their digest, all spans."""
     from .secrets import find_secrets
@@ -87,6 +95,7 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op3_jaccard": op3_jaccard,
     "op4_secrets": op4_secrets,
     "op5_quality": op5_quality,
     "op8_best_fit": op8_best_fit,
