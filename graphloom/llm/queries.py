@@ -32,6 +32,15 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with personal data replaced by format-preserving pseudonyms."""
+    from .pii import Key, pseudonymise
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("before"), "text")
+    done = pseudonymise(docs, Key("graphloom"))
+    return done.select("doc_id", "text", (F.col("before") != F.col("text")).alias("changed"))
+
+
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate component of every document: 4-word shingles, similarity of 0.85."""
     from .jaccard import near_duplicates
@@ -95,6 +104,7 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_pseudonyms": op2_pseudonyms,
     "op3_jaccard": op3_jaccard,
     "op4_secrets": op4_secrets,
     "op5_quality": op5_quality,
