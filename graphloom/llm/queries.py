@@ -77,6 +77,14 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found for every row whose id is divisible by 20."""
+    from .neighbours import nearest
+
+    found = nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces and their places in sequences of 2048 tokens."""
     from .bpe import read_ranks
@@ -108,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_jaccard": op3_jaccard,
     "op4_secrets": op4_secrets,
     "op5_quality": op5_quality,
+    "op6_neighbours": op6_neighbours,
     "op8_best_fit": op8_best_fit,
     "op9_substrings": op9_substrings,
     "op10_main_text": op10_main_text,
