@@ -85,6 +85,15 @@ def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document in its best segmentation under a unigram model."""
+    from .bpe import read_ranks
+    from .unigram import count_tokens
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return count_tokens(docs, read_ranks(_vocabulary())).drop("text")
+
+
 def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces and their places in sequences of 2048 tokens."""
     from .bpe import read_ranks
@@ -117,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secrets": op4_secrets,
     "op5_quality": op5_quality,
     "op6_neighbours": op6_neighbours,
+    "op7_token_counts": op7_token_counts,
     "op8_best_fit": op8_best_fit,
     "op9_substrings": op9_substrings,
     "op10_main_text": op10_main_text,
