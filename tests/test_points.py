@@ -85,7 +85,7 @@ def records(spark, texts):
 
 
 def test_upsert(spark, tmp_path):
-    path, embedder = str(tmp_path / "points"), HashingEmbedder(DIM)
+    path, embedder = str(tmp_path / "points"), HashingEmbedder(64)
     with pytest.raises(ValueError):
         points.ensure_collection(spark, path)
     points.upsert(points.to_points(records(spark, list("abcde")), "one", embedder), path)
@@ -93,7 +93,7 @@ def test_upsert(spark, tmp_path):
     points.upsert(points.to_points(records(spark, list("abcde")), "one", embedder), path)
     got = points.read_points(spark, path)
     assert {r.graph: r["count"] for r in got.groupBy("graph").count().collect()} == {"one": 5, "two": 2}
-    assert got.select("id").distinct().count() == 7 and len(got.first().vector) == DIM
+    assert got.select("id").distinct().count() == 7 and len(got.first().vector) == 64
     assert points.iri_index(got).where("iri = 'http://e/0'").count() == 2
     hit = search.search(got, search.Query(text="c"), embedder).first()
     assert hit.repr == "c" and hit.score == pytest.approx(1.0)
