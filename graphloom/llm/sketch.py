@@ -19,7 +19,7 @@ HELD = 1 << 22
 #: Bounds of the number of cells: at most 64 MB of bits reach the driver.
 LEAST_BITS, MOST_BITS = 16, 29
 
-SCHEMA = "block int, offsets binary, counts binary"
+SCHEMA = "block int, cells binary"
 
 
 def cell_bits(df: DataFrame, cells_per_byte: float) -> int:
@@ -48,13 +48,21 @@ class Cells:
         cells, counts = np.unique(np.concatenate(self.parts), return_counts=True)
         self.parts, self.held = [], 0
         block = (cells >> BLOCK_BITS).astype(np.int32)
-        low = (cells & ((1 << BLOCK_BITS) - 1)).astype("<u2")
-        counts = np.minimum(counts, 0xFFFF).astype("<u2")
+        low = (cells & ((1 << BLOCK_BITS) - 1)).astype(np.uint16)
         bounds = np.append(np.flatnonzero(np.append(True, block[1:] != block[:-1])), len(block))
-        raw, n = (low.tobytes(), counts.tobytes()), len(bounds) - 1
-        cut = [[x[2 * a : 2 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)] for x in raw]
-        for i in range(0, n, 1024):
-            yield pa.RecordBatch.from_arrays([pa.array(block[bounds[i : min(n, i + 1024)]]), pa.array(cut[0][i : i + 1024], pa.binary()), pa.array(cut[1][i : i + 1024], pa.binary())], names=["block", "offsets", "counts"])
+        # gaps between cells and counts, low bytes apart from high ones, so that they compress
+        gaps = np.diff(low, prepend=np.uint16(0))
+        gaps[bounds[:-1]] = low[bounds[:-1]]
+        counts = np.minimum(counts, 0xFFFF).astype(np.uint16)
+        planes = [x.astype(np.uint8).tobytes() for x in (gaps, gaps >> 8, counts, counts >> 8)]
+        rows = [b"".join(p[a:b] for p in planes) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        for i in range(0, len(rows), 1024):
+            yield pa.RecordBatch.from_arrays([pa.array(block[bounds[i : min(len(rows), i + 1024)]]), pa.array(rows[i : i + 1024], pa.binary())], names=["block", "cells"])
+
+
+def _unpacked(cells: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(cells, dtype=np.uint8).reshape(4, -1).astype(np.int64)
+    return np.cumsum(planes[0] | planes[1] << 8), planes[2] | planes[3] << 8
 
 
 def merged(cells: DataFrame, summary, *names: str) -> DataFrame:
@@ -67,12 +75,13 @@ def merged(cells: DataFrame, summary, *names: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), *(pa.array([x], pa.binary()) for x in summary(total))], names=["block", *names])
 
         for batch in batches:
-            for block, offsets, counts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for block, cells_ in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
                 if block != now:
                     if now is not None:
                         yield row()
                     now, total = block, np.zeros(1 << BLOCK_BITS, dtype=np.int64)
-                total[np.frombuffer(offsets, "<u2")] += np.frombuffer(counts, "<u2")
+                at, times = _unpacked(cells_)
+                total[at] += times
         if now is not None:
             yield row()
 

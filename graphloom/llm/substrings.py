@@ -38,10 +38,10 @@ from .textblocks import Block, blocks, grams, hash_ranges, run_lengths
 
 SIZE, GRAM = 20, 8
 #: Estimated repeats from which a minimiser's windows are spread one by one.
-FREQUENT = 128
+FREQUENT = 1024
 #: Windows a task holds to settle equal ones among them.
 HELD = 1 << 20
-CELLS_PER_BYTE = 0.25
+CELLS_PER_BYTE = 1.0
 
 
 def windows(block: Block, size: int, gram: int) -> tuple[np.ndarray, ...] | None:
