@@ -32,7 +32,7 @@ PATTERNS = {
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     # not within an IBAN
-    "card": "".join(f"(?<![A-Z]{{2}}[0-9]{{2}}{' [A-Z0-9]{4}' * n} )" for n in range(6)) + r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?:\1[0-9]{1,3})?|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?![0-9])",
+    "card": "".join(f"(?<![A-Z]{{2}}[0-9]{{2}}{' [A-Z0-9]{4}' * n} )" for n in range(6)) + r"(?<![0-9])(?<![A-Z]{2})(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?:\1[0-9]{1,3})?|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?![0-9])",
     "phone": r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])"
     r"|(?<![0-9A-Za-z])\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])"
     r"|(?<![0-9A-Za-z.+-])(?<![0-9][ .-])[0-9]{3}([ .-])[0-9]{3,4}\1[0-9]{4}(?![ .-]?[0-9])",
