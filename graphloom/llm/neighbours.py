@@ -3,7 +3,7 @@
 A fast pseudo-rotation (three rounds of random signs and a Hadamard transform)
 turns a vector, and its bucket in a table is the signed axis nearest to it.
 Every table has its own rotation.  A query looks into the buckets of its
-``probes`` nearest axes in every table, and what it finds there is ranked by
+nearest axes, a fixed share of them, in every table, and what it finds there is ranked by
 the exact inner product of the original vectors, in double precision.
 
 Equal vectors are one class, of which only as many smallest ids travel as a
@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 
 from .shared import written
 
-TABLES, PROBES, SEED = 10, 16, 11
+TABLES, SEED = 10, 11
+#: Share of a table's axes that a query looks at.
+PROBED = 1 / 8
 #: Classes of one piece of a bucket.
 PIECE = 1024
 
@@ -92,7 +94,7 @@ def _usable(vector: Column) -> Column:
     return vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0)
 
 
-def nearest(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 20, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
+def nearest(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 20, tables: int = TABLES, probed: float = PROBED) -> DataFrame:
     """query_id, rank (from 1), id and score of the k nearest rows found for each query, its own left out."""
     rows = df.where(F.col(key).isNotNull() & _usable(F.col(vector))).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
     sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
@@ -110,6 +112,7 @@ def nearest(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str =
     lift = bool(spans.high - spans.low > 1e-3 * spans.high)
     width = 1 << max(0, sizes[0].d + int(lift) - 1).bit_length()
     turns = signs(width, tables)
+    probes = max(1, round(2 * width * probed))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
