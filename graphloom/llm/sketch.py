@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 
 BLOCK_BITS = 16
 #: Items held by a task before their cells are sent.
-HELD = 1 << 22
+HELD = 1 << 21
 #: Bounds of the number of cells: at most 64 MB of bits reach the driver.
 LEAST_BITS, MOST_BITS = 16, 29
 

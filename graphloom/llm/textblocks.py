@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; larger single rows are still handled whole.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 #: Longest stretch hashed by one cumulative sum.
 _SPAN = 1 << 20
 
