@@ -2,8 +2,8 @@
 
 Each round lets every node send its larger and then its smaller neighbours to
 the least node near it, which keeps components and flattens them to stars in
-few rounds.  Rounds end when a round changes nothing.  Links stay distributed;
-only counts reach the driver, and every round is written to the shared folder.
+few rounds.  Rounds end when the links are stars.  Links stay distributed, and
+every round is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -27,15 +27,17 @@ def _small_star(links: DataFrame) -> DataFrame:
     return near.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _stars(links: DataFrame) -> bool:
+    """Whether every node has one link down, to a node that has none: then those are the roots."""
+    if not links.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return False
+    return links.select(F.col("v").alias("u")).distinct().join(links.select("u"), "u", "left_semi").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """node and root of every node with a link; ``links`` has u and v of one type, u <> v."""
     links = written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "links")
-    before = None
-    while True:
-        now = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if now == before or not now.n:
-            break
-        before = now
+    while not _stars(links):
         links = written(_small_star(_large_star(links)), "links")
     roots = links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

@@ -4,10 +4,11 @@ A document's set is its distinct word shingles; two documents link when 100
 times the common shingles are at least ``percent`` times those of either.
 
 1. Documents with equal sets form a class; only classes are joined.
-2. Shingles are put in one order for all documents: by how frequent a sketch
-   estimates them to be, then by hash.  Linked sets share a shingle within
-   their first n - ceil(percent * n / 100) + 1, their prefix.  Any order is
-   right; this one keeps boilerplate out of prefixes.
+2. Shingles are put in one order for all documents: by how frequent a merged
+   count-min sketch estimates them to be, then by hash.  Linked sets share a
+   shingle within their first n - ceil(percent * n / 100) + 1, their prefix.
+   Any order is right; this one puts shingles of one document first, which need
+   not be sent, and keeps boilerplate out of prefixes.
 3. Classes with a prefix shingle in common form a group under the least class
    that has it.  A class that shares many prefix shingles with another meets it
    in one group, whatever their number.
@@ -38,8 +39,8 @@ from .components import components
 from .shared import written
 from .textblocks import Block, blocks, grams, hash_ranges, mix64, run_lengths
 
-#: Cells of the sketch that orders shingles, as a power of two: 4 MB of levels.
-ORDER_BITS = 22
+#: Cells of the sketch that orders shingles, for each byte of input, within the bounds of sketch.py.
+CELLS_PER_BYTE = 3.0
 #: Classes, and shingles of them, that one tile of a group holds.
 TILE_CLASSES, TILE_SHINGLES = 512, 1 << 20
 #: Classes that a task remembers to have sent.
@@ -83,25 +84,48 @@ class ShingleSets:
         return self.first ^ self.second
 
 
-class _Levels:
-    """How frequent shingles are estimated to be, in steps of powers of two."""
+class _Order:
+    """How frequent shingles are estimated to be: 0 in one document at most, 1 in more, then in powers of two."""
 
-    def __init__(self, blocks_: dict[int, bytes]) -> None:
-        self.place = np.full(1 << (ORDER_BITS - sketch.BLOCK_BITS), -1, dtype=np.int64)
-        self.place[list(blocks_)] = np.arange(len(blocks_))
-        self.data = np.frombuffer(b"".join(blocks_.values()) or b"\0", dtype=np.uint8)
+    def __init__(self, bits: int, flags: sketch.Flags, cells: np.ndarray, levels: np.ndarray) -> None:
+        self.bits, self.flags, self.cells, self.levels = bits, flags, cells, levels
 
     def __call__(self, hashes: np.ndarray) -> np.ndarray:
-        cell = (hashes >> _U(64 - ORDER_BITS)).astype(np.int64)
-        block = self.place[cell >> sketch.BLOCK_BITS]
-        return np.where(block >= 0, self.data[np.maximum(block, 0) << sketch.BLOCK_BITS | cell & 0xFFFF], 0) if len(self.data) > 1 else np.zeros(len(hashes), np.uint8)
+        rank = self.flags.test(hashes).astype(np.uint8)
+        if len(self.cells):
+            cell = (hashes >> _U(64 - self.bits)).astype(np.int64)
+            at = np.minimum(np.searchsorted(self.cells, cell), len(self.cells) - 1)
+            rank += np.where(self.cells[at] == cell, self.levels[at], 0).astype(np.uint8)
+        return rank
 
 
-def _level_bytes(counts: np.ndarray) -> tuple[bytes]:
-    """Level of each cell by what it has above an ordinary cell of its block."""
+def _summary(counts: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Cells counted twice, and the few that stand out from what is usual in their block, with levels."""
     usual = float(np.median(counts))
-    over = (counts - usual - 4 * usual**0.5) / 16
-    return (np.where(over >= 1, 1 + np.log2(np.maximum(over, 1)), 0).astype(np.uint8).tobytes(),)
+    over = (counts - usual - 4 * usual**0.5) / 8
+    high = np.flatnonzero(over >= 1)
+    return sketch.packed(counts >= 2), high.astype(np.uint16).tobytes(), (1 + np.log2(over[high])).astype(np.uint8).tobytes()
+
+
+def _order(docs: DataFrame, size: int):
+    """The broadcast order of shingles: two bits or so for each cell, at most 2 ** MOST_BITS of them."""
+    bits = sketch.cell_bits(docs, CELLS_PER_BYTE)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = sketch.Cells(bits)
+        for batch in batches:
+            for block in blocks(batch.column(0), lower=True):
+                yield from cells.add(ShingleSets(block, size).values)
+        yield from cells.flush()
+
+    found = sketch.merged(docs.select("text").mapInArrow(count, sketch.SCHEMA), _summary, "twice", "high", "levels").collect()
+    found.sort(key=lambda r: r.block)
+    none = bytes(1 << (sketch.BLOCK_BITS - 3))
+    flags = sketch.Flags(bits, {r.block: bytes(r.twice) for r in found if r.twice != none})
+    high = [np.frombuffer(bytes(r.high), np.uint16).astype(np.int64) | r.block << sketch.BLOCK_BITS for r in found]
+    levels = [np.frombuffer(bytes(r.levels), np.uint8) for r in found]
+    order = _Order(bits, flags, np.concatenate([*high, np.empty(0, np.int64)]), np.concatenate([*levels, np.empty(0, np.uint8)]))
+    return docs.sparkSession.sparkContext.broadcast(order)
 
 
 def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
@@ -203,26 +227,21 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     spark = df.sparkSession
     docs = df.select(F.col(key).cast("long").alias("key"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("row"), F.col(text).alias("text"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = sketch.Cells(ORDER_BITS)
-        for batch in batches:
-            for block in blocks(batch.column(0), lower=True):
-                yield from cells.add(ShingleSets(block, size).values)
-        yield from cells.flush()
-
-    levels = sketch.merged(docs.select("text").mapInArrow(count, sketch.SCHEMA), _level_bytes, "levels").collect()  # 2 ** ORDER_BITS bytes at most
-    order = spark.sparkContext.broadcast({r.block: bytes(r.levels) for r in levels})
+    order = _order(docs, size)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = _Levels(order.value)
+        rank_of = order.value
         for batch in batches:
             for block in blocks(batch.column(2), lower=True):
                 sets = ShingleSets(block, size)
                 n = sets.counts
                 most = np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
-                by = np.lexsort((sets.values, level(sets.values), sets.owner))
+                rank = rank_of(sets.values)
+                by = np.lexsort((sets.values, rank, sets.owner))
                 owner, place = run_lengths(most)
-                prefix = sets.values[by][sets.bounds[:-1][owner] + place]
+                at = by[sets.bounds[:-1][owner] + place]
+                twice = rank[at] > 0  # the others are in no other document
+                prefix, most = sets.values[at[twice]], np.bincount(owner[twice], minlength=block.rows)
                 part = batch.slice(block.first, block.rows)
                 arrays = [part.column(0), part.column(1), pa.array(n.astype(np.int32)), pa.array(sets.first.view(np.int64)), pa.array(sets.second.view(np.int64)), _lists(prefix, np.append(0, np.cumsum(most)))]
                 yield pa.RecordBatch.from_arrays(arrays, names=["key", "row", "n", "c1", "c2", "prefix"])
@@ -231,15 +250,23 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     posts = rows.select(F.explode("prefix").alias("shingle"), F.expr("c1 ^ c2").alias("class"), "n")
     lists = posts.groupBy("shingle").agg(F.min("class").alias("head"), F.max("class").alias("other")).where("head <> other").select("shingle", "head")
     members = written(posts.join(lists, "shingle").select("head", "class", "n").distinct(), "members")
-    flags = _class_flags(members.select("class"))
+
+    groups = members.groupBy("head").agg(F.count("*").alias("m"), F.sum("n").alias("s"), F.min("n").alias("least"), F.max("n").alias("most")).where("m > 1")
+    # two sets too unlike in size cannot link
+    possible = groups.where(f"m > 2 OR 100 * least >= {percent} * most").select("head", "m", "s")
+    in_groups = written(members.drop("n").join(possible, "head"), "groups")
+    # of each class in a group, the row with the least key sends its set
+    least = rows.where("n > 0").groupBy("c1", "c2").agg(F.min("key").alias("key")).select(F.expr("c1 ^ c2").alias("class"), "key")
+    flags = _row_flags(least.join(in_groups.select("class").distinct(), "class"))
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test = flags.value.test
         seen: set[tuple[int, int]] = set()
         for batch in batches:
-            for block in blocks(batch.column(0), lower=True):
+            for block in blocks(batch.column(1), lower=True):
                 sets = ShingleSets(block, size)
-                use = np.flatnonzero(test(sets.classes) & (sets.counts > 0))
+                names = _row_names(sets.classes, batch.column(0).slice(block.first, block.rows))
+                use = np.flatnonzero(test(names) & (sets.counts > 0))
                 names = list(zip(sets.first[use].tolist(), sets.second[use].tolist(), strict=True))
                 new = [i for i, c in zip(use, names, strict=True) if c not in seen and not seen.add(c)]
                 if len(seen) > SEEN:
@@ -252,37 +279,41 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
                 arrays = [pa.array(x[use].view(np.int64)) for x in (sets.classes, sets.first, sets.second)]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array(sets.counts[use].astype(np.int32)), _lists(values, np.append(0, np.cumsum(sets.counts[use])))], names=["class", "c1", "c2", "n", "shingles"])
 
-    sets = written(docs.select("text").mapInArrow(wanted, "class long, c1 long, c2 long, n int, shingles array<long>"), "sets")
-    groups = members.groupBy("head").agg(F.count("*").alias("m"), F.sum("n").alias("s")).where("m > 1")
-    groups = groups.withColumn("tiles", F.greatest(F.ceil(F.col("m") / TILE_CLASSES), F.ceil(F.col("s") / TILE_SHINGLES)).cast("int"))
-    in_groups = members.drop("n").join(groups.select("head", "tiles"), "head")
-    filled = in_groups.join(sets, "class")
+    sets = docs.select("key", "text").mapInArrow(wanted, "class long, c1 long, c2 long, n int, shingles array<long>")
+    tiles = F.greatest(F.ceil(F.col("m") / TILE_CLASSES), F.ceil(F.col("s") / TILE_SHINGLES)).cast("int")
+    filled = written(in_groups.select("head", "class", tiles.alias("tiles")).join(sets, "class"), "filled")
     both = (F.lit(True).alias("left"), F.lit(True).alias("right"))
     small = filled.where("tiles = 1").select(F.col("head").alias("job"), "c1", "c2", "n", "shingles", *both)
     links = small.repartition("job").sortWithinPartitions("job").mapInArrow(_verify(percent), _LINK)
-    if not groups.where("tiles > 1").isEmpty():
-        links = links.unionByName(_large_groups(filled.where("tiles > 1"), sets, percent))
+    if not in_groups.where(tiles > 1).isEmpty():
+        links = links.unionByName(_large_groups(filled.where("tiles > 1"), percent))
     nodes = components(links)
     return _labelled(rows, nodes)
 
 
-def _class_flags(classes: DataFrame):
-    """Broadcast bits for the classes that are in some group."""
-    bits = sketch.cell_bits(classes, 1.0)
+def _row_names(classes: np.ndarray, keys: pa.Array) -> np.ndarray:
+    """A hash of class and key of each row; a null key is one of its own."""
+    known = keys.is_valid().to_numpy(zero_copy_only=False)
+    return mix64(classes ^ mix64(np.where(known, keys.fill_null(0).to_numpy(zero_copy_only=False).view(_U), _U(0x5BD1E995)) + (~known).astype(_U)))
+
+
+def _row_flags(rows: DataFrame):
+    """Broadcast bits for rows of class and key; a bit too many only sends a set too many."""
+    bits = sketch.cell_bits(rows.select("class"), CELLS_PER_BYTE)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = sketch.Cells(bits)
         for batch in batches:
-            yield from cells.add(batch.column(0).to_numpy().view(_U))
+            yield from cells.add(_row_names(batch.column(0).to_numpy().view(_U), batch.column(1)))
         yield from cells.flush()
 
-    found = sketch.merged(classes.mapInArrow(count, sketch.SCHEMA), lambda n: (sketch.packed(n > 0),), "there").collect()  # a bit a cell
-    return classes.sparkSession.sparkContext.broadcast(sketch.Flags(bits, {r.block: bytes(r.there) for r in found}))
+    found = sketch.merged(rows.select("class", "key").mapInArrow(count, sketch.SCHEMA), lambda n: (sketch.packed(n > 0),), "there").collect()  # a bit a cell
+    return rows.sparkSession.sparkContext.broadcast(sketch.Flags(bits, {r.block: bytes(r.there) for r in found}))
 
 
-def _large_groups(filled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _large_groups(filled: DataFrame, percent: int) -> DataFrame:
     """Links of groups over a tile: with the head first, then of the rest with all, by tiles."""
-    head = sets.select(F.col("class").alias("head"), F.col("c1").alias("h1"), F.col("c2").alias("h2"), F.col("n").alias("hn"), F.col("shingles").alias("hs")).dropDuplicates(["head", "h1", "h2"])
+    head = filled.where("class = head").select("head", F.col("c1").alias("h1"), F.col("c2").alias("h2"), F.col("n").alias("hn"), F.col("shingles").alias("hs")).dropDuplicates(["head", "h1", "h2"])
     common = F.size(F.array_intersect("shingles", "hs"))
     star = filled.join(head, "head").withColumn("near", common * 100 >= (F.col("n") + F.col("hn") - common) * percent)
     star = written(star.drop("hs"), "stars")
@@ -308,7 +339,8 @@ def _labelled(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     linked = nodes.join(classes.withColumn("node", name), "node")
     roots = linked.groupBy("root").agg(F.min("least").alias("lowest"))
     lowest = linked.join(roots, "root").select("c1", "c2", "lowest")
-    classes = classes.join(lowest, ["c1", "c2"], "left").select("c1", "c2", F.coalesce("lowest", "least").alias("component_id"))
+    # a table of its own, so that a class of very many rows can be split in the join
+    classes = written(classes.join(lowest, ["c1", "c2"], "left").select("c1", "c2", F.coalesce("lowest", "least").alias("component_id")), "classes")
     done = rows.where("n > 0").join(classes, ["c1", "c2"]).select("key", "row", F.col("n").cast("long").alias("n_shingles"), "component_id")
     empty = rows.where("n = 0").select("key", "row", F.lit(0).cast("long").alias("n_shingles"), F.col("key").alias("component_id"))
     return done.unionByName(empty)
