@@ -213,8 +213,9 @@ def test_copies_ties_and_bad_vectors(spark, monkeypatch):
 
 def test_pipeline(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
-    prose = [" ".join(words(random.Random(i), 120)) for i in range(6)]
-    passage = " ".join(words(random.Random(50), 60))
+    letters = str.maketrans("0123456789", "abcdefghij")  # words of digits are no prose
+    prose = [" ".join(words(random.Random(i), 120)).translate(letters) for i in range(6)]
+    passage = " ".join(words(random.Random(50), 60)).translate(letters)
     texts = [prose[0], prose[0], prose[1] + "\n" + passage, prose[2] + "\n" + passage, prose[3] + ' token = "abcdef0123456789abcdef01"', "short", "x*** " * 40, None, prose[4]]
     rows = [(i, x, "en", "s", len(x or "")) for i, x in enumerate(texts)]
     schema = "doc_id long, text string, lang string, source string, n_chars long"
