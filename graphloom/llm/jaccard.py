@@ -186,12 +186,14 @@ def _verify(percent: int):
         values = np.asarray(sets.values)
         edge = np.append(np.flatnonzero(np.append(True, job[1:] != job[:-1])), len(job))
         for a, b in zip(edge[:-1], edge[1:], strict=True):
-            _, once = np.unique(np.stack([c1[a:b], c2[a:b]], axis=1), axis=0, return_index=True)
+            _, once, same = np.unique(np.stack([c1[a:b], c2[a:b]], axis=1), axis=0, return_index=True, return_inverse=True)
             if len(once) < 2:
                 continue
             rows = a + once
+            # a class may come once for each side
+            sides = [np.bincount(same.ravel(), side[a:b]) > 0 for side in (left, right)]
             owner, place = run_lengths((offsets[1:] - offsets[:-1])[rows])
-            found = _verified(n[rows], values[offsets[rows][owner] + place], np.append(0, np.cumsum((offsets[1:] - offsets[:-1])[rows])), percent, left[rows], right[rows])
+            found = _verified(n[rows], values[offsets[rows][owner] + place], np.append(0, np.cumsum((offsets[1:] - offsets[:-1])[rows])), percent, *sides)
             label = _spanning(found)
             moved = np.flatnonzero(label != np.arange(len(label)))
             if len(moved):

@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,6 +71,29 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, tile, size, perce
     assert sorted(got, key=repr) == sorted(brute_components(rows, size, percent), key=repr)
 
 
+@pytest.mark.parametrize("tile", [4, 6])
+def test_large_group_links_classes_that_are_not_near_its_head(spark, monkeypatch, tile):
+    """Pairs that meet only in the group of the word all have, as their other common words are frequent and in no prefix."""
+    monkeypatch.setattr(jaccard, "TILE_CLASSES", tile)
+    common = [[f"f{i}x{j}" for j in range(7)] for i in range(6)]
+    texts = [" ".join([f"u{i}x{side}", "shared", *common[i]]) for i in range(6) for side in range(2)]
+    texts += [" ".join([w for c in common for w in c] + [f"v{i}x{j}" for j in range(200)]) for i in range(60)]
+    rows = [(i, x, None) for i, x in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = [(r.key, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df, size=1, percent=80).collect()]
+    assert sorted(got) == sorted(brute_components(rows, 1, 80))
+
+
+@pytest.mark.parametrize("flip", [False, True])
+def test_verify_takes_both_sides_of_a_class(flip):
+    sides = [(True, False), (False, True)]
+    rows = [(c, s) for s in (sides[::-1] if flip else sides) for c in (1, 2)]
+    sets = pa.array([[1, 2, 3, 4, 5]] * 4, pa.list_(pa.int64()))
+    columns = [pa.array([7] * 4, pa.int64()), *[pa.array([c for c, _ in rows], pa.int64())] * 2, pa.array([5] * 4, pa.int32()), sets, *(pa.array([s[i] for _, s in rows]) for i in range(2))]
+    batch = pa.RecordBatch.from_arrays(columns, names=["job", "c1", "c2", "n", "shingles", "left", "right"])
+    assert sum(b.num_rows for b in jaccard._verify(80)(iter([batch]))) == 1
+
+
 def test_keep_one(spark):
     rows = corpus()
     df = spark.createDataFrame(rows, "doc_id long, text string, _row string")
