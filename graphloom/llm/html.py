@@ -9,8 +9,13 @@ comes from the page itself are its content.  Subtrees that by tag, role or
 name cannot be content (menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles, reader comments) never take part.
 
-If a page marks its article (``article``, ``main`` or ``role=main``), paths are
-taken within it.  Pages are independent of each other: no shuffle, memory
+A mark (``article``, ``main`` or ``role=main``) is a prior: scores of marked
+blocks are divided, those of others multiplied, by the share of the page's score
+that is outside of marks.  If a mark holds nearly all of it, only paths of links
+fail within; if it holds little, as teasers do, the text elsewhere is content.
+Paths and neighbours inside and outside of marks are apart.  Of marked blocks,
+list items that are links are left out; of others, all that are links.  If
+nothing reaches the threshold, the marked text stays.  Pages are independent of each other: no shuffle, memory
 bounded by one page.  Null and empty html gives an empty text.
 """
 
@@ -43,6 +48,9 @@ MAYBE = frozenset("header side rail aside promo promotion banner alert share sha
 KEEP = frozenset("article main content post body entry story text".split())
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
+#: The share of a page's score outside of marks is taken to be this at least.
+LEAST_OUTSIDE = 0.02
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _CLOSE = {tag: re.compile(rf"</{tag}\s*(?:>|\Z)", re.I) for tag in RAW}
 # Open elements that an opening one ends.
@@ -182,16 +190,14 @@ def main_text(page: str | None, smooth: int = 1, strength: float = 0.5) -> str:
     of the page's mean score, weighted by text, from which a block is content.
     """
     found = text_blocks(page or "")
-    marked = [b for b in found if b[1].main]
-    found = marked or found
-    paths: dict[int, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
+    paths: dict[tuple[int, bool], list[int]] = defaultdict(lambda: [0, 0, 0, 0])
     for text, node, links in found:
-        sums = paths[node.path]
+        sums = paths[node.path, node.main]
         for i, x in enumerate((len(text), len(_POINTS.findall(text)), links, 1)):
             sums[i] += x
 
     def score(node: _Node) -> float:
-        length, points, links, count = paths[node.path]
+        length, points, links, count = paths[node.path, node.main]
         share = 1 - links / length
         return share * share * (length / count) ** 0.5 * (1 + points / count) ** 0.5
 
@@ -200,15 +206,18 @@ def main_text(page: str | None, smooth: int = 1, strength: float = 0.5) -> str:
         if found[i][1].tag in HEADINGS:
             raw[i] = max(raw[i], raw[i + 1])
     total = sum(len(b[0]) for b in found)
-    limit = strength * sum(s * len(b[0]) for s, b in zip(raw, found, strict=True)) / max(1, total)
+    weight = sum(s * len(b[0]) for s, b in zip(raw, found, strict=True))
+    limit = strength * weight / max(1, total)
+    inside = sum(s * len(b[0]) for s, b in zip(raw, found, strict=True) if b[1].main)
+    outside = max(LEAST_OUTSIDE, 1 - inside / weight) if weight else 1.0
     kept = []
     for i, (text, node, links) in enumerate(found):
-        near = raw[max(0, i - smooth) : i + smooth + 1]
+        near = [raw[j] for j in range(max(0, i - smooth), min(len(found), i + smooth + 1)) if found[j][1].main == node.main]
         fused = (raw[i] + sum(near) / len(near)) / 2
-        # in a marked article only list items that are links are left out
-        if (node.tag != "li" or links < 0.8 * len(text)) if node.main else fused >= limit and links < len(text):
+        fused = fused / outside if node.main else fused * outside
+        if fused >= limit and (node.tag != "li" or links < 0.8 * len(text) if node.main else links < len(text)):
             kept.append(text)
-    return "\n".join(kept or [b[0] for b in marked])
+    return "\n".join(kept or [b[0] for b in found if b[1].main])
 
 
 def extract_main_text(df: DataFrame, html: str = "html", text: str = "text") -> DataFrame:
