@@ -7,9 +7,11 @@ nearest axes, a fixed share of them, in every table, and what it finds there is
 the exact inner product of the original vectors, in double precision.
 
 Equal vectors are one class, of which only as many smallest ids travel as a
-result can hold.  Where norms differ, vectors get a coordinate that makes all
-of one length, so that the largest inner product is the nearest (it is 0 for
-queries).  Buckets are dealt in pieces of bounded size, a large bucket to
+result can hold.  Where norms differ, vectors fall into bands of norms within
+a factor of BAND, and get a coordinate that makes all of a band as long as its
+longest, so that the largest inner product is the nearest (it is 0 for queries).
+A query looks into every band; one of few vectors is a single bucket that all
+queries see.  A query that finds too few is ranked against all vectors.  Buckets are dealt in pieces of bounded size, a large bucket to
 several tasks; nothing is left out of any bucket.  Candidates are ranked where
 they meet, in blocks; only each query's best of a piece travel on.
 
@@ -20,6 +22,7 @@ id and vector count once.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +35,10 @@ from .shared import written
 TABLES, SEED = 10, 11
 #: Share of a table's axes that a query looks at.
 PROBED = 1 / 8
-#: Classes of one piece of a bucket.
+#: Classes of one piece of a bucket; a band of no more rows is not hashed.
 PIECE = 1024
+#: Norms of a band are within this factor.
+BAND = 2**0.5
 
 
 def signs(dim: int, tables: int, seed: int = SEED) -> np.ndarray:
@@ -64,14 +69,14 @@ def nearest_axes(x: np.ndarray, s: np.ndarray, count: int) -> np.ndarray:
     return np.take_along_axis(part, np.argsort(-np.take_along_axis(both, part, axis=1), axis=1, kind="stable"), axis=1)
 
 
-def _prepared(x: np.ndarray, longest: float, lift: bool, query: bool) -> np.ndarray:
+def _prepared(x: np.ndarray, longest: np.ndarray | None, lift: bool, query: bool) -> np.ndarray:
     """Rows of one length, padded to a power of two."""
     norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
     if query or not lift:
         x = x / norm
         extra = np.zeros((len(x), int(lift)))
     else:
-        x = x / longest
+        x = x / longest[:, None]
         extra = np.sqrt(np.maximum(0.0, 1.0 - (x * x).sum(axis=1, keepdims=True)))
     x = np.concatenate([x, extra], axis=1)
     return np.pad(x, ((0, 0), (0, (1 << max(0, x.shape[1] - 1).bit_length()) - x.shape[1])))
@@ -108,8 +113,14 @@ def nearest(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str =
     asked = rows.where("is_query").select("v").distinct().withColumn("asked", F.lit(True))
     classes = classes.join(asked, "v", "left").select("v", "ids", F.get("ids", F.lit(0)).alias("rep"), F.coalesce("asked", F.lit(False)).alias("asked"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    spans = rows.agg(F.max(norm).alias("high"), F.min(norm).alias("low")).first()
-    lift = bool(spans.high - spans.low > 1e-3 * spans.high)
+    band = F.greatest(F.least(F.coalesce(F.floor(F.log2(norm) / math.log2(BAND)), F.lit(-5000)), F.lit(5000)), F.lit(-5000)).cast("int")
+    spans = rows.groupBy(band.alias("band")).agg(F.max(norm).alias("high"), F.min(norm).alias("low"), F.count("*").alias("n")).orderBy("band").collect()  # one for each band
+    high, low = max(r.high for r in spans), min(r.low for r in spans)
+    lift = bool(high - low > 1e-3 * high)
+    place = {r.band: i if lift else 0 for i, r in enumerate(spans)}
+    longest = np.array([r.high for r in spans])
+    whole = np.array([r.n for r in spans] if lift else [sum(r.n for r in spans)]) <= PIECE
+    classes = classes.withColumn("band", band)
     width = 1 << max(0, sizes[0].d + int(lift) - 1).bit_length()
     turns = signs(width, tables)
     probes = max(1, round(2 * width * probed))
@@ -118,14 +129,19 @@ def nearest(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str =
         for batch in batches:
             for i in range(0, batch.num_rows, 4096):
                 part = batch.slice(i, 4096)
-                x = _prepared(_matrix(part.column(0)), spans.high, lift, False)
-                axes = np.stack([nearest_axes(x, s, 1)[:, 0] for s in turns], axis=1).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(axes) + 1, dtype=np.int32) * tables), pa.array(axes.ravel()))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, "axes"])
-
-    index = written(classes.mapInArrow(hashed, "v array<double>, ids array<long>, rep long, asked boolean, axes array<int>"), "index")
-    placed = index.select("rep", F.posexplode("axes").alias("t", "axis"))
-    pieces = {(r.t, r.axis): -(-r.n // PIECE) for r in placed.groupBy("t", "axis").agg(F.count("*").alias("n")).collect()}  # one for each axis of each table
+                at = np.array([place[b] for b in part.column(4).to_pylist()], dtype=np.int64)
+                x = _prepared(_matrix(part.column(0)), longest[at], lift, False)
+                axes = np.stack([nearest_axes(x, s, 1)[:, 0] for s in turns], axis=1)
+                slots = (at[:, None] * tables + np.arange(tables)) * 2 * width + axes
+                slots[whole[at], 0] = at[whole[at]] * tables * 2 * width
+                use = np.ones(slots.shape, dtype=bool)
+                use[whole[at], 1:] = False
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(use.sum(axis=1))).astype(np.int32)), pa.array(slots[use]))
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], lists], names=[*part.schema.names[:4], "slots"])
+
+    index = written(classes.mapInArrow(hashed, "v array<double>, ids array<long>, rep long, asked boolean, slots array<long>"), "index")
+    placed = index.select(F.explode("slots").alias("slot"))
+    pieces = {r.slot: -(-r.n // PIECE) for r in placed.groupBy("slot").agg(F.count("*").alias("n")).collect()}  # one for each axis of each table of each band
     many = {b: n for b, n in pieces.items() if n > 1}
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,19 +149,21 @@ def nearest(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str =
             for i in range(0, batch.num_rows, 1024):
                 part = batch.slice(i, 1024)
                 rep = np.asarray(part.column(2))
-                axes = np.asarray(part.column(4).flatten()).reshape(len(rep), tables)
                 x = _matrix(part.column(0))
                 ask = np.flatnonzero(np.asarray(part.column(3)))
-                turned = _prepared(x[ask], spans.high, lift, True) if len(ask) else None
                 out: list[tuple[int, bool, int]] = []
-                for t in range(tables):
-                    for row, axis in enumerate(axes[:, t].tolist()):
-                        out.append(((t * 2 * width + axis) << 24 | int(rep[row]) % many.get((t, axis), 1), False, row))
-                    if turned is not None:
+                for row, slots in enumerate(part.column(4).to_pylist()):
+                    out += [(slot << 24 | int(rep[row]) % many.get(slot, 1), False, row) for slot in slots]
+                seen: list[list[int]] = [[b * tables * 2 * width for b in np.flatnonzero(whole).tolist()] for _ in ask]
+                if len(ask) and not whole.all():
+                    turned = _prepared(x[ask], None, lift, True)
+                    for t in range(tables):
+                        base = (np.flatnonzero(~whole) * tables + t) * 2 * width
                         near = nearest_axes(turned, turns[t], probes)
-                        for row, places in zip(ask.tolist(), near.tolist(), strict=True):
-                            for axis in places:
-                                out += [((t * 2 * width + axis) << 24 | p, True, row) for p in range(pieces.get((t, axis), 0))]
+                        for slots, axes in zip(seen, near, strict=True):
+                            slots += (base[:, None] + axes).ravel().tolist()
+                for row, slots in zip(ask.tolist(), seen, strict=True):
+                    out += [(slot << 24 | p, True, row) for slot in slots for p in range(pieces.get(slot, 0))]
                 which = pa.array([o[2] for o in out], pa.int64())
                 key_, asks = pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.bool_())
                 yield pa.RecordBatch.from_arrays([key_, asks, part.column(2).take(which), part.column(1).take(which), part.column(0).take(which)], names=["bucket", "ask", "rep", "ids", "v"])
@@ -220,9 +238,18 @@ def nearest(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str =
         if now is not None:
             yield out()
 
-    found = index.mapInArrow(buckets, "bucket long, ask boolean, rep long, ids array<long>, v array<double>")
-    found = found.repartition("bucket").sortWithinPartitions("bucket", "ask").mapInArrow(rank, "rep long, ids array<long>, scores array<double>")
-    lists = found.repartition("rep").sortWithinPartitions("rep").mapInArrow(merge, "rep long, ids array<long>, scores array<double>")
+    def ranked(found: DataFrame) -> DataFrame:
+        found = found.repartition("bucket").sortWithinPartitions("bucket", "ask").mapInArrow(rank, "rep long, ids array<long>, scores array<double>")
+        return found.repartition("rep").sortWithinPartitions("rep").mapInArrow(merge, "rep long, ids array<long>, scores array<double>")
+
+    lists = written(ranked(index.mapInArrow(buckets, "bucket long, ask boolean, rep long, ids array<long>, v array<double>")), "found")
+    enough = lists.where(F.size("ids") > k).select("rep")
+    short = index.where("asked").join(enough, "rep", "left_anti")
+    if not short.isEmpty():
+        parts = -(-index.count() // PIECE)
+        held = index.select(F.pmod(F.xxhash64("rep"), F.lit(parts)).alias("bucket"), F.lit(False).alias("ask"), "rep", "ids", "v")
+        asking = short.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("bucket"), F.lit(True).alias("ask"), "rep", "ids", "v")
+        lists = lists.join(enough, "rep", "left_semi").unionByName(ranked(held.unionByName(asking)))
     named = index.where("asked").select("rep", "v").join(lists, "rep", "left")
     queries = rows.where("is_query").select(F.col("id").alias("query_id"), "v").distinct().join(named, "v")
     hits = F.slice(F.filter(F.arrays_zip("ids", "scores"), lambda x: x.ids != F.col("query_id")), 1, k)

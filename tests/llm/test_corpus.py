@@ -220,6 +220,31 @@ def test_recall(spark, scale):
     assert np.mean(share) >= 0.9
 
 
+@pytest.mark.parametrize("skew", ["one", "lognormal"])
+def test_recall_with_skewed_norms(spark, skew):
+    rng = np.random.default_rng(2)
+    m = rng.normal(size=(5000, 64))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    if skew == "one":
+        m[7] *= 20
+    else:
+        m *= rng.lognormal(0, 1, (5000, 1))
+    m = m.astype(np.float32).astype(np.float64)
+    got = defaultdict(set)
+    for r in neighbours.nearest(vectors(spark, m), F.col("vec_id") % 50 == 0).collect():
+        got[r.query_id].add(r.id)
+    assert all(len(got[q]) == 20 for q in range(0, 5000, 50))
+    assert np.mean([len(got[q] & set(brute_nearest(m, np.arange(5000), q, 20))) / 20 for q in range(0, 5000, 50)]) >= 0.95
+
+
+def test_a_query_that_finds_too_few_is_ranked_against_all(spark):
+    m = np.random.default_rng(3).normal(size=(1500, 64))
+    m = (m / np.linalg.norm(m, axis=1, keepdims=True)).astype(np.float32).astype(np.float64)
+    rows = neighbours.nearest(vectors(spark, m), F.col("vec_id") < 3, tables=1, probed=0.001).collect()
+    for q in range(3):
+        assert [r.id for r in sorted(rows, key=lambda r: r.rank) if r.query_id == q] == brute_nearest(m, np.arange(1500), q, 20)
+
+
 def test_copies_ties_and_bad_vectors(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "PIECE", 8)
     base = np.eye(8)[np.zeros(60, dtype=int)]
