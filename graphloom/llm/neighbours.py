@@ -108,7 +108,7 @@ def nearest(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str =
         return df.sparkSession.createDataFrame([], schema)
     rows = rows.where(F.size("v") == sizes[0].d)
     # of a class of equal vectors, the ids that a result of k rows can hold
-    first = rows.select("id", "v").withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("n") <= 2 * (k + 1))
+    first = rows.select("id", "v").withColumn("n", F.dense_rank().over(Window.partitionBy("v").orderBy("id"))).where(F.col("n") <= k + 1)
     classes = first.groupBy("v").agg(F.slice(F.array_sort(F.collect_set("id")), 1, k + 1).alias("ids"))
     asked = rows.where("is_query").select("v").distinct().withColumn("asked", F.lit(True))
     classes = classes.join(asked, "v", "left").select("v", "ids", F.get("ids", F.lit(0)).alias("rep"), F.coalesce("asked", F.lit(False)).alias("asked"))

@@ -245,6 +245,12 @@ def test_a_query_that_finds_too_few_is_ranked_against_all(spark):
         assert [r.id for r in sorted(rows, key=lambda r: r.rank) if r.query_id == q] == brute_nearest(m, np.arange(1500), q, 20)
 
 
+def test_repeated_rows_leave_room_for_equal_vectors(spark):
+    m = np.eye(8)[[0] * 100 + [0, 0, 1]]
+    rows = neighbours.nearest(vectors(spark, m, [0] * 100 + [1, 2, 3]), F.col("vec_id") == 3).collect()
+    assert [r.id for r in sorted(rows, key=lambda r: r.rank)] == [0, 1, 2]
+
+
 def test_copies_ties_and_bad_vectors(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "PIECE", 8)
     base = np.eye(8)[np.zeros(60, dtype=int)]
