@@ -1,5 +1,5 @@
 """Operators for large-scale training-data pipelines.
 
-Nothing else in the library imports this subpackage; it depends only on
-PySpark, numpy and pyarrow.
+Of the rest of the library only the evaluation of searches imports from it, for
+its intermediate table; it depends only on PySpark, numpy and pyarrow.
 """

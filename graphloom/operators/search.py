@@ -96,17 +96,33 @@ def search(points: DataFrame, query: Query, embedder=None) -> DataFrame:
     return top_k(points.where(graph_filter(query.include_graphs, query.exclude_graphs)), vector, query.limit, query.offset)
 
 
+def _hashing(points: DataFrame, bucket: float, tables: int):
+    """Points with ``unit``, their vector scaled to length 1, and the model that hashes it."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
+    from pyspark.ml.functions import array_to_vector
+
+    scaled = Normalizer(inputCol="raw", outputCol="unit", p=2.0).transform(points.withColumn("raw", array_to_vector(as_doubles(F.col("vector")))))
+    return scaled, BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=7).fit(scaled)
+
+
+def hashed(points: DataFrame, bucket: float = 0.5, tables: int = 5) -> DataFrame:
+    """id, graph, unit vector and buckets of points that have a length; a shared bucket makes a candidate of approximate_top_k."""
+    from pyspark.ml.functions import vector_to_array
+
+    usable = points.where(F.exists("vector", lambda x: x != 0))
+    scaled, model = _hashing(usable, bucket, tables)
+    places = F.array(*(vector_to_array(F.col("hashes")[t])[0] for t in range(tables)))
+    return model.transform(scaled).select("id", "graph", vector_to_array("unit").alias("unit"), places.alias("buckets"))
+
+
 def approximate_top_k(points: DataFrame, vector: list[float], limit: int, bucket: float = 0.5, tables: int = 5) -> DataFrame:
     """The best of locality-sensitive candidates, by the cosine of the stored vectors.
 
     Vectors are scaled to length 1, where Euclidean order is cosine order.
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
-    from pyspark.ml.functions import array_to_vector
     from pyspark.ml.linalg import Vectors
 
-    scaled = Normalizer(inputCol="raw", outputCol="unit", p=2.0).transform(points.withColumn("raw", array_to_vector(as_doubles(F.col("vector")))))
-    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=7).fit(scaled)
+    scaled, model = _hashing(points, bucket, tables)
     size = sum(x * x for x in vector) ** 0.5 or 1.0
     near = model.approxNearestNeighbors(scaled, Vectors.dense([x / size for x in vector]), limit)
     return top_k(near.select(*points.columns), vector, limit)

@@ -468,7 +468,7 @@ _EVAL_SQL = (
 
 
 def _evaluation(spark, sf_dir) -> DataFrame:
-    """Hits of 20 queries: exact, and two searches that miss points."""
+    """Hits of 20 queries: exact, and two stand-ins for searches, which miss every fifth and third point, as SQL can express."""
     from pyspark.sql import Window
 
     from ..functions.vectors import as_doubles, cosine
@@ -505,8 +505,31 @@ def score_range(spark, sf_dir):
     return evaluate.score_ranges(_evaluation(spark, sf_dir)).select("query_id", "mode", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
+def _searches(spark, sf_dir) -> DataFrame:
+    """Hits of every fiftieth point: exact, and of the locality-sensitive search in its graph and over all."""
+    return evaluate.run_all(_points(spark, sf_dir), F.col("id") % 50 == 0)
+
+
 @query()
 def recall_summary(spark, sf_dir):
-    """Mean recall by graph and depth."""
-    return evaluate.summary(_evaluation(spark, sf_dir), by_graph=True)
+    """Mean recall of the locality-sensitive search by graph and depth."""
+    return evaluate.summary(_searches(spark, sf_dir), by_graph=True)
+
+
+@query()
+def search_recall_at_k(spark, sf_dir):
+    """Recall of the locality-sensitive search at five depths."""
+    return evaluate.recall_table(_searches(spark, sf_dir)).select("query_id", "mode", "k", "overlap", F.round("recall", 6).alias("recall"))
+
+
+@query()
+def search_missed_points(spark, sf_dir):
+    """Mean and greatest number of exact hits that the locality-sensitive search over all graphs missed."""
+    return evaluate.missed_summary(_searches(spark, sf_dir))
+
+
+@query()
+def search_score_range(spark, sf_dir):
+    """Scores of the exact and the locality-sensitive search."""
+    return evaluate.score_ranges(_searches(spark, sf_dir)).select("query_id", "mode", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 

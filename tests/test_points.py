@@ -130,6 +130,30 @@ def test_run_evaluation(spark):
     assert {r["mode"]: r["count"] for r in hits.groupBy("mode").count().collect()} == {"knn": 5, "in_graph": 5, "all_graph": 5}
 
 
+def test_run_all_equals_the_searches_of_each_query(spark, small, monkeypatch):
+    import numpy as np
+
+    from graphloom.plans import catalog
+
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=DIM)], None if i % 17 == 1 else f"g{i % 3}") for i in range(300)]
+    p = spark.createDataFrame([*rows, (900, None, "g0"), (901, [0.0] * DIM, "g0")], "id long, vector array<float>, graph string")
+    monkeypatch.setattr(evaluate, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(evaluate, "POINT_BLOCK", 100)
+    got = {}
+    for r in evaluate.run_all(p, F.col("id") % 50 == 0, 8).collect():
+        got.setdefault((r.query_id, r.mode), {})[r.rank] = r.id
+    usable = p.where("id < 900")
+    for q in range(0, 300, 150):
+        inside = usable.where(F.col("graph") == rows[q][2])
+        for mode, want in (("knn", search.top_k(inside, rows[q][1], 8)), ("in_graph", search.approximate_top_k(inside, rows[q][1], 8)), ("all_graph", search.approximate_top_k(usable, rows[q][1], 8))):
+            assert [got[q, mode][i + 1] for i in range(8)] == [r.id for r in want.orderBy(F.desc("score"), "id").collect()]
+    assert {q for q, _ in got} == set(range(0, 300, 50))
+    asked = spark.read.parquet(f"{small}/embeddings.parquet").where("vec_id % 50 = 0 AND label IS NOT NULL")
+    counts = {r.target_graph: r.queries for r in catalog.QUERIES["recall_summary"](spark, small).where("k = 1").collect()}
+    assert counts == {str(r.label): r["count"] for r in asked.groupBy("label").count().collect()}
+
+
 def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([(["http://e/1"], "é", "label: é\nx: 1", 1)], "iris array<string>, label string, embedding_text string, iri_count long")
     sinks.write_jsonl(rows, str(tmp_path / "j"))
