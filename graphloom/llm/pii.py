@@ -249,6 +249,8 @@ def _valid(kind: str, value: Column) -> Column:
         return F.forall(F.split(value, r"\."), lambda x: x.cast("int") <= 255)
     if kind == "ssn":
         return _ssn_valid(_digits(value))
+    if kind == "card":
+        return luhn_sum(_digits(value)) % 10 == 0
     return F.lit(True)
 
 

@@ -199,6 +199,13 @@ def test_layout_and_links(spark):
     assert (none, empty, plain) == (None, "", "nothing 12 here") and re.fullmatch(r"ssn \d{3}-\d\d-\d{4}", ssn) and "123-45" not in ssn
 
 
+def test_digits_that_are_no_card_stay(spark):
+    texts = ["order 4111 1111 1111 1112.", "4111111111111112", "9780306406158"]
+    assert not any(luhn(re.sub(r"\D", "", x)) for x in texts) and replaced(spark, texts) == texts
+    mixed = replaced(spark, ["4111111111111111, 4111111111111112"])[0]
+    assert mixed.endswith(", 4111111111111112") and not mixed.startswith("4111111111111111,")
+
+
 def test_permutations(spark):
     rng = random.Random(3)
     cards = list({str(rng.randint(10**15, 10**16 - 1)) for _ in range(500)})
