@@ -4,6 +4,13 @@ A text is cut into pre-tokens, distinct pre-tokens are laid out as rows of
 matrices bucketed by length, and each round merges in every row the leftmost
 pair of lowest rank.  Pair ranks come from an open-addressing hash table; rows
 that have no mergeable pair left are moved out, so matrices shrink as they go.
+A pre-token over MATRIX_BYTES is a matrix of one row, in which a round merges
+the lowest pair wherever it stands, from the left; that is the same as one
+place a round unless a merge makes a lower pair, and then only the leftmost
+place is merged.  So very long pre-tokens take a round for each distinct merge.
+
+Encoded pre-tokens are remembered by two hashes of different seeds; one whose
+second hash differs from the remembered one is encoded by itself.
 
 The result equals tiktoken's ``encode_ordinary`` with the same ranks and the
 usual pattern ``'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+``.
@@ -16,7 +23,6 @@ a bounded cache of encoded pre-tokens.
 from __future__ import annotations
 
 import base64
-import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,12 +33,14 @@ from pyspark.sql import types as T
 
 from .textblocks import Block, blocks, hash_ranges, run_lengths
 
-#: Rows of up to so many bytes go to matrices, longer ones to a heap per row.
+#: Longer rows get a matrix of their own.
 MATRIX_BYTES = 256
 #: Cells of one matrix.
 MATRIX_CELLS = 1 << 20
 #: Encoded pre-tokens kept by each worker.
 CACHE_PIECES = 1 << 19
+#: Of the two hashes of a pre-token.
+SEEDS = (1, 0x5851F42D)
 
 _NONE = np.int32(2**31 - 1)
 _LETTER, _NUMBER, _WHITE, _OTHER = range(4)
@@ -166,15 +174,15 @@ class Encoder:
         order = [t for t in tokens if t]
         data = np.frombuffer(b"".join(order), dtype=np.uint8)
         ends = np.cumsum([len(t) for t in order])
-        hashes = hash_ranges(data, ends - [len(t) for t in order], ends)
-        self.whole = (hashes, np.array([ranks[t] for t in order], dtype=np.int32))
+        begins = ends - [len(t) for t in order]
+        self.whole = (*(hash_ranges(data, begins, ends, seed) for seed in SEEDS), np.array([ranks[t] for t in order], dtype=np.int32))
         self._reset()
 
     def _reset(self) -> None:
         """An empty cache, or one that holds the tokens themselves."""
-        hashes, ids = self.whole if self.whole_first else (np.empty(0, np.uint64), np.empty(0, np.int32))
+        hashes, second, ids = self.whole if self.whole_first else (*[np.empty(0, np.uint64)] * 2, np.empty(0, np.int32))
         by = np.argsort(hashes)
-        self.known, self.place, self.count = hashes[by], by.astype(np.int64), np.ones(len(by), dtype=np.int64)
+        self.known, self.second, self.place, self.count = hashes[by], second[by], by.astype(np.int64), np.ones(len(by), dtype=np.int64)
         self.flat = ids
 
     # -- merging ---------------------------------------------------------
@@ -218,36 +226,44 @@ class Encoder:
                 rank[ok, near[ok]] = self._rank(ids[ok, near[ok]], ids[ok, near[ok] + 1])
         return out, left
 
-    def merge_long(self, piece: bytes) -> list[int]:
-        """The same merges for one long piece: a heap of pairs over a linked list."""
-        ids = self.byte_ids[np.frombuffer(piece, dtype=np.uint8)]
+    def merge_long(self, piece: np.ndarray) -> np.ndarray:
+        """Ids of one long piece; a round merges the lowest pair at all its places."""
+        ids = self.byte_ids[piece]
         rank = self._rank(ids[:-1], ids[1:])
-        ids = ids.tolist()
-        after, before = [*range(1, len(ids)), -1], [*range(-1, len(ids) - 1)]
-        heap = [(int(r), i) for i, r in enumerate(rank) if r != _NONE]
-        heapq.heapify(heap)
-        now = {i: r for r, i in heap}
-        tokens, ranks = self._token, self.ranks
-        while heap:
-            r, i = heapq.heappop(heap)
-            if now.get(i) != r:
-                continue
-            j = after[i]
-            ids[i] = r
-            now.pop(i)
-            now.pop(j, None)
-            after[i] = after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            ids[j] = -1
-            for k in (before[i], i):
-                if k < 0:
+        while len(rank) and (low := rank.min()) != _NONE:
+            at = np.flatnonzero(rank == low)
+            if len(at) > 1:
+                near = np.diff(at)
+                if (near == 1).any():  # of overlapping places every second, from the left
+                    k = np.arange(len(at))
+                    at = at[(k - np.maximum.accumulate(np.where(np.append(True, near != 1), k, 0))) % 2 == 0]
+                between = (np.diff(at) == 2).any() and self._rank(np.array([low]), ids[at[:1]])[0] < low
+                done = None if between else self._merged(ids, rank, at, low)
+                if done is None:
+                    at = at[:1]
+                else:
+                    ids, rank = done
                     continue
-                now.pop(k, None)
-                if after[k] >= 0 and (new := ranks.get(tokens(ids[k]) + tokens(ids[after[k]]))) is not None:
-                    now[k] = new
-                    heapq.heappush(heap, (new, k))
-        return [x for x in ids if x >= 0]
+            ids, rank = self._merged(ids, rank, at, low, always=True)
+        return ids
+
+    def _merged(self, ids: np.ndarray, rank: np.ndarray, at: np.ndarray, low: np.int32, always: bool = False) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids and ranks after merges at some places; none if they make a lower pair."""
+        keep = np.ones(len(ids), dtype=bool)
+        keep[at + 1] = False
+        new = ids[keep]
+        place = at - np.arange(len(at))
+        new[place] = low
+        near = np.concatenate([place - 1, place])
+        near = near[(near >= 0) & (near < len(new) - 1)]
+        fresh = self._rank(new[near], new[near + 1])
+        if not always and (fresh < low).any():
+            return None
+        stay = np.ones(len(rank), dtype=bool)
+        stay[at] = False
+        rank = rank[stay]
+        rank[near] = fresh
+        return new, rank
 
     def _token(self, i: int) -> bytes:
         a = self.offsets[i]
@@ -275,7 +291,7 @@ class Encoder:
             parts.append((which, ids[np.arange(ids.shape[1])[None, :] < left[:, None]], left))
             a = b
         for i in order[stop:]:
-            ids = np.array(self.merge_long(data[starts[i] : ends[i]].tobytes()), dtype=np.int32)
+            ids = self.merge_long(data[starts[i] : ends[i]])
             counts[i] = len(ids)
             parts.append((np.array([i]), ids, np.array([len(ids)])))
         flat = np.empty(int(counts.sum()), dtype=np.int32)
@@ -296,7 +312,8 @@ class Encoder:
         return flat, np.append(0, np.cumsum(counts))[rows]
 
     def encode_pieces(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        hashes, one, inverse = np.unique(hash_ranges(data, starts, ends), return_index=True, return_inverse=True)
+        first, second = (hash_ranges(data, starts, ends, seed) for seed in SEEDS)
+        hashes, one, inverse = np.unique(first, return_index=True, return_inverse=True)
         if len(self.known) > CACHE_PIECES:
             self._reset()
         at = np.minimum(np.searchsorted(self.known, hashes), max(0, len(self.known) - 1))
@@ -306,16 +323,24 @@ class Encoder:
             which = which[np.argsort(which)]
             flat, counts = self.merge(data, starts[which], ends[which])
             place = len(self.flat) + np.cumsum(counts) - counts
-            known = np.concatenate([self.known, hash_ranges(data, starts[which], ends[which])])
+            known = np.concatenate([self.known, first[which]])
             by = np.argsort(known, kind="stable")
             self.known = known[by]
+            self.second = np.concatenate([self.second, second[which]])[by]
             self.place = np.concatenate([self.place, place])[by]
             self.count = np.concatenate([self.count, counts])[by]
             self.flat = np.concatenate([self.flat, flat])
             at = np.searchsorted(self.known, hashes)
-        place, count = self.place[at][inverse], self.count[at][inverse]
+        place, count, flat = self.place[at][inverse], self.count[at][inverse], self.flat
+        other = np.flatnonzero(self.second[at][inverse] != second)
+        for i in other.tolist():  # another text of the same first hash
+            piece = data[starts[i] : ends[i]]
+            one_ = self.ranks.get(piece.tobytes()) if self.whole_first else None
+            ids = np.array([one_], dtype=np.int32) if one_ is not None else self.merge(piece, np.zeros(1, np.int64), np.array([len(piece)]))[0]
+            place[i], count[i] = len(flat), len(ids)
+            flat = np.concatenate([flat, ids])
         owner, k = run_lengths(count)
-        return self.flat[place[owner] + k], count
+        return flat[place[owner] + k], count
 
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of all rows one after the other, and the byte bounds of each row."""
@@ -324,8 +349,6 @@ class Encoder:
         return self.bytes[self.offsets[ids][owner] + place], np.append(0, np.cumsum(size))[bounds]
 
 
-
-
 def worker_encoder(shared, whole_first: bool = True) -> Encoder:
     """The encoder of this worker process, made once from broadcast ranks."""
     key = (shared.value, whole_first)

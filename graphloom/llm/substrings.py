@@ -11,10 +11,11 @@ in the same one.
    so no repeated window is lost.
 2. Windows whose minimiser is estimated to repeat are sent out, those that
    share a minimiser as one row, and grouped exactly by minimiser and window
-   hash (128 bits).  Within a task, all but the first of equal windows are
-   settled before anything is sent.  A minimiser that is estimated frequent
-   sends its windows one by one, spread by their own hash, so no task gathers
-   more rows of a frequent passage than there are tasks.
+   hash, 64 bits each.  Within a task, all but the first of equal windows are
+   settled by the same two before anything is sent.  A minimiser that is
+   estimated frequent sends its windows one by one, spread by their own hash and
+   with the minimiser's as the second, so no task gathers more rows of a
+   frequent passage than there are tasks.
 3. Runs of windows that start later than an equal one go back to their text.
 
 Two rows with the same key and text are one document: neither is earlier.  A
@@ -130,7 +131,7 @@ def repeated_runs(df: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFram
         def settle() -> Iterator[pa.RecordBatch]:
             order, row, start, window, value, place = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            lost = _lost((window,), order, start)
+            lost = _lost((window, value), order, start)
             # settled runs travel on as rows without hashes, spread by their row
             if lost.any():
                 o, r, s = order[lost], row[lost], start[lost]
@@ -146,7 +147,7 @@ def repeated_runs(df: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFram
             first = np.flatnonzero(head)
             length = np.diff(np.append(first, len(order)))
             key = np.where(alone, window, value)[first].view(np.int64)
-            yield from rows_out(key, order[first], row[first], start[first], length, (window, first))
+            yield from rows_out(key, order[first], row[first], start[first], length, (np.where(alone, value, window), first))
 
         def rows_out(key, order, row, start, length, hashes) -> Iterator[pa.RecordBatch]:
             for i in range(0, len(key), 1 << 14):

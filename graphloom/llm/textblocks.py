@@ -5,8 +5,12 @@ bytes outside the ASCII white space set, i.e. ``[^\\x20\\x09-\\x0D]+``; those
 bytes never occur inside a multi-byte UTF-8 sequence, so byte runs and
 code-point runs are the same words.
 
-Hashes are 64-bit, seeded polynomial sums finished by an avalanche step.  They
-are deterministic over processes and machines.
+Hashes are 64-bit and seeded.  A word's is a sum of avalanche steps over its
+8-byte pieces, each with a key of its place; a run of words is hashed by a tree
+of avalanche steps.  Neither is a polynomial, whose values collide for texts of
+two alternating letters whatever the seed.  Hashes are deterministic over
+processes and machines; equal hashes are not proof of equal texts, so users
+that need certainty compare a second hash of another seed.
 """
 
 from __future__ import annotations
@@ -19,12 +23,12 @@ import pyarrow as pa
 
 #: Bytes of text handled at once; larger single rows are still handled whole.
 BLOCK_BYTES = 1 << 20
-#: Longest stretch hashed by one cumulative sum.
-_SPAN = 1 << 20
 
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_GRAM = 0xD6E8FEB86659FD93 | 1
+_GRAM = _U(0xD6E8FEB86659FD93)
+_PIECE = _U(0x2545F4914F6CDD1D)
+#: What remains of an 8-byte piece with so many bytes.
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=_U)
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -43,44 +47,24 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _byte_values(seed: int) -> np.ndarray:
-    return mix64(np.arange(1, 257, dtype=_U) * _U(0x2545F4914F6CDD1D) + _U(seed))
-
-
-_power_cache: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Base ** i and base ** -i modulo 2 ** 64 for i below n."""
-    have = _power_cache.get("up")
-    if have is None or len(have) < n:
-        size = max(n, _SPAN)
-        inverse = pow(_BASE, -1, 1 << 64)
-        for name, base in (("up", _BASE), ("down", inverse)):
-            p = np.full(size, base, dtype=_U)
-            p[0] = 1
-            _power_cache[name] = np.cumprod(p, dtype=_U)
-    up, down = _power_cache["up"], _power_cache["down"]
-    if n > _SPAN:  # an unusually long span; do not keep its table
-        del _power_cache["up"], _power_cache["down"]
-    return up[:n], down[:n]
-
-
 def hash_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1) -> np.ndarray:
-    """64-bit hash of each byte range, in order of start and not nested."""
-    out = np.empty(len(starts), dtype=_U)
-    values = _byte_values(seed)
-    i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + _SPAN, side="right")))
-        a, b = int(starts[i]), int(ends[j - 1])
-        up, down = _powers(max(1, b - a))
-        total = np.zeros(b - a + 1, dtype=_U)
-        np.cumsum(values[data[a:b]] * up[: b - a], out=total[1:])
-        s, e = starts[i:j] - a, ends[i:j] - a
-        out[i:j] = (total[e] - total[s]) * down[np.minimum(s, len(down) - 1)]
-        i = j
-    return mix64(out + (ends - starts).astype(_U) * _U(0xA0761D6478BD642F))
+    """64-bit hash of each byte range."""
+    size = ends - starts
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    piece = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))  # the 8 bytes from each place on
+    pieces = max(1, -(-int(size.max(initial=1)) // 8))
+    keys = mix64(np.arange(1, pieces + 1, dtype=_U) * _PIECE + _U(seed))
+    total = mix64((piece[starts] & _MASK[np.minimum(size, 8)]) ^ keys[0])
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        count = (size[long] - 1) >> 3
+        owner, place = run_lengths(count)
+        place += 1
+        rest = np.minimum(size[long][owner] - 8 * place, 8)
+        more = np.append(_U(0), np.cumsum(mix64((piece[starts[long][owner] + 8 * place] & _MASK[rest]) ^ keys[place]), dtype=_U))
+        end = np.cumsum(count)
+        total[long] += more[end] - more[end - count]
+    return mix64(total + size.astype(_U) * _U(0xA0761D6478BD642F))
 
 
 def grams(words: np.ndarray, n: int) -> np.ndarray:
@@ -88,18 +72,19 @@ def grams(words: np.ndarray, n: int) -> np.ndarray:
     m = len(words) - n + 1
     if m <= 0:
         return np.empty(0, dtype=_U)
+    if n == 1:
+        return mix64(words)
     out: np.ndarray | None = None
     done, level, width = 0, words, 1
     while True:
         if n & width:
             part = level[done : done + m]
-            out = part.copy() if out is None else out + part * _U(pow(_GRAM, done, 1 << 64))
+            out = part if out is None else mix64(out * _GRAM + part)
             done += width
         if width * 2 > n:
-            break
-        level = level[: len(level) - width] + level[width:] * _U(pow(_GRAM, width, 1 << 64))
+            return out
+        level = mix64(level[: len(level) - width] * _GRAM + level[width:])
         width *= 2
-    return mix64(out)
 
 
 @dataclass
