@@ -2,8 +2,8 @@
 
 Each round lets every node send its larger and then its smaller neighbours to
 the least node near it, which keeps components and flattens them to stars in
-few rounds.  Rounds end when the links are stars.  Links stay distributed, and
-every round is written to the shared folder.
+few rounds.  Rounds end when the links are stars.  Links stay distributed;
+every round is written to the shared folder, and the one before goes.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import Scratch
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -36,8 +36,10 @@ def _stars(links: DataFrame) -> bool:
 
 def components(links: DataFrame) -> DataFrame:
     """node and root of every node with a link; ``links`` has u and v of one type, u <> v."""
-    links = written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "links")
+    scratch = Scratch(links.sparkSession)
+    links = scratch.written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "links")
     while not _stars(links):
-        links = written(_small_star(_large_star(links)), "links")
+        links = scratch.written(_small_star(_large_star(links)), "links")
+        scratch.drop_oldest("links")
     roots = links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

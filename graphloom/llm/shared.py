@@ -1,24 +1,5 @@
 """Intermediate tables in the folder that all executors share."""
 
-from __future__ import annotations
+from ..sources.tables import Scratch, shared_folder, written
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; where none is set, a folder of this machine, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="graphloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, written to the shared folder and read back, so that nothing is computed twice."""
-    path = f"{shared_folder(df.sparkSession)}/graphloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["Scratch", "shared_folder", "written"]

@@ -22,10 +22,10 @@ LEAST_BITS, MOST_BITS = 16, 29
 SCHEMA = "block int, cells binary"
 
 
-def cell_bits(df: DataFrame, cells_per_byte: float) -> int:
+def cell_bits(df: DataFrame, cells_per_byte: float, most: int = MOST_BITS) -> int:
     """Cells, as a power of two, in proportion to the planned size of the input."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(MOST_BITS, max(LEAST_BITS, int(np.ceil(np.log2(max(1.0, size * cells_per_byte))))))
+    return min(most, max(LEAST_BITS, int(np.ceil(np.log2(max(1.0, size * cells_per_byte))))))
 
 
 class Cells:
