@@ -6,6 +6,9 @@ are put in order of rejection per cost.  The cascade is one CASE expression, so
 a document is put to the next rule only if no rule before rejected it.  The
 order decides how much is computed, never the verdict.
 
+Words and lines of a text are made once, in a projection of their own, and all
+measures and rules read them; dear expressions stay within the CASE.
+
 Everything is computed within a row: no shuffle, nothing collected but the
 sample.  A null text counts as empty; an empty text has no words and fails the
 rule on few words.  Repeated windows are compared by 64-bit hash within one
@@ -22,10 +25,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD_WINDOW = 8
-#: Rows and characters of each on which costs are measured.
-SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_COPIES = 256, 20_000, 4
+#: Rows and characters of each on which costs are measured, from one row in SAMPLE_SHARE.
+SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_COPIES, SAMPLE_SHARE = 256, 20_000, 4, 64
 
-_SPACE = r"[\x20\x09-\x0D]+"
+_SPACE = "\t\n\x0b\x0c\r"
 _WORD = r"[^\x20\x09-\x0D]"
 
 
@@ -35,7 +38,7 @@ def _text(column: str) -> Column:
 
 def word_array(text: Column) -> Column:
     """The words of a text, in order."""
-    return F.filter(F.split(text, _SPACE), lambda w: w != "")
+    return F.array_remove(F.split(F.translate(text, _SPACE, " " * len(_SPACE)), " "), "")
 
 
 def line_array(text: Column) -> Column:
@@ -43,51 +46,34 @@ def line_array(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda x: x.rlike(_WORD))
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def window_hashes(words: Column, size: int = WORD_WINDOW) -> Column:
-    """A hash of each run of ``size`` words."""
+    """A hash of each run of ``size`` words, a power of two: of pairs, pairs of pairs, and so on."""
+    if size & (size - 1):
+        raise ValueError("the size of a window is a power of two")
+
+    def doubled(width: int) -> Callable[[Column], Column]:
+        return lambda h: F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + width)))
+
+    out = F.transform(words, lambda w: F.xxhash64(w))
+    width = 1
+    while width < size:
+        out, width = _let(out, doubled(width)), width * 2
     last = F.size(words) - (size - 1)
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, size)))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(last >= 1, F.slice(out, 1, F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<bigint>"))
 
 
 def _has_repeats(hashes: Column) -> Column:
     return F.size(F.array_distinct(hashes)) < F.size(hashes)
 
 
-def with_features(df: DataFrame, text: str = "text", size: int = WORD_WINDOW) -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (all long)."""
-    new = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    if taken := set(df.columns) & {*new, "_words", "_lines", "_hashes", "_sorted", "_places"}:
-        raise ValueError(f"columns {sorted(taken)} exist already")
-    t = _text(text)
-    # each step is a projection of its own, so that no array is made twice
-    step = df.withColumns({"_words": word_array(t), "_lines": line_array(t)})
-    step = step.withColumns(
-        {
-            "n_words": F.size("_words").cast("long"),
-            "word_chars": F.length(F.array_join("_words", "")).cast("long"),
-            "n_symbols": F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "_hashes": window_hashes(F.col("_words"), size),
-        }
-    ).drop("_words", "_lines")
-    # only texts with a repeated window are looked at further
-    hashes, ordered, places = F.col("_hashes"), F.col("_sorted"), F.col("_places")
-    pairs = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    step = step.withColumn("_sorted", F.when(_has_repeats(hashes), pairs).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))).drop("_hashes")
-
-    def repeated(x: Column, i: Column) -> Column:
-        same = F.coalesce(F.get(ordered, i - 1).h == x.h, F.lit(False)) | F.coalesce(F.get(ordered, i + 1).h == x.h, F.lit(False))
-        return F.when(same, x.i)
-
-    found = F.filter(F.transform(ordered, repeated), lambda i: i.isNotNull())
-    step = step.withColumn("_places", F.sort_array(found)).drop("_sorted")
-    gaps = F.transform(places, lambda p, i: F.least(F.lit(size), F.coalesce(F.get(places, i + 1) - p, F.lit(size))))
-    return step.withColumn("n_repeat_words", F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x)).drop("_places")
-
-
-def repeat_share_exceeds(text: Column, percent: int, size: int = WORD_WINDOW) -> Column:
-    """Whether over ``percent`` of the words lie in repeated windows, in one expression."""
-    # let-bindings by one-element arrays keep every array from being made twice
+def _repeat_words(hashes: Column, size: int) -> Column:
+    """Words in windows whose hash comes twice; only texts with such windows are looked at further."""
+
     def covered(ordered: Column) -> Column:
         def repeated(x: Column, i: Column) -> Column:
             same = F.coalesce(F.get(ordered, i - 1).h == x.h, F.lit(False)) | F.coalesce(F.get(ordered, i + 1).h == x.h, F.lit(False))
@@ -97,91 +83,118 @@ def repeat_share_exceeds(text: Column, percent: int, size: int = WORD_WINDOW) ->
         start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-size).alias("last"))
         return F.aggregate(places, start, lambda a, p: F.struct((a.n + F.least(F.lit(size), p - a.last)).cast("long").alias("n"), p.alias("last")), lambda a: a.n)
 
-    def verdict(words: Column) -> Column:
-        def by_hashes(h: Column) -> Column:
-            pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-            n = F.get(F.transform(F.array(pairs), covered), F.lit(0))
-            return F.when(_has_repeats(h), n * 100 > F.size(words) * percent).otherwise(F.lit(False))
-
-        return F.get(F.transform(F.array(window_hashes(words, size)), by_hashes), F.lit(0))
-
-    return F.get(F.transform(F.array(word_array(text)), verdict), F.lit(0))
+    pairs = F.sort_array(F.transform(hashes, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    return F.when(_has_repeats(hashes), _let(pairs, covered)).otherwise(F.lit(0).cast("long"))
 
 
 @dataclass(frozen=True)
-class Rule:
-    """name, and the condition on a text that rejects it."""
-
-    name: str
-    rejects: Callable[[Column], Column]
-
-
-def _per_word(pattern: str, percent: int) -> Callable[[Column], Column]:
-    """Matches of a pattern, over so many per hundred words."""
-    return lambda t: F.regexp_count(t, F.lit(pattern)) * 100 > F.size(word_array(t)) * percent
-
-
-def _stutter(percent: int) -> Callable[[Column], Column]:
-    """Words equal to the one before, over so many per hundred."""
+class Parts:
+    """What rules read of a document: its text, words and lines, and measures of them."""
+
+    text: Column
+    words: Column
+    lines: Column
+    n_words: Column
+    word_chars: Column
+    n_symbols: Column
+    n_dup_lines: Column
+    n_repeat_words: Column
+
+    @staticmethod
+    def of(text: Column, words: Column, lines: Column, size: int = WORD_WINDOW) -> Parts:
+        """Measures as expressions, computed only where they are read."""
+        return Parts(
+            text,
+            words,
+            lines,
+            F.size(words).cast("long"),
+            F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")).cast("long"),
+            F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long"),
+            (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
+            _let(window_hashes(words, size), lambda h: _repeat_words(h, size)),
+        )
+
+
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def _shared(df: DataFrame, text: str) -> DataFrame:
+    """The rows with _words and _lines, in a projection of their own."""
+    if taken := {"_words", "_lines"} & set(df.columns):
+        raise ValueError(f"columns {sorted(taken)} exist already")
+    return df.withColumns({"_words": word_array(_text(text)), "_lines": line_array(_text(text))})
 
-    def rejects(t: Column) -> Column:
-        def over(words: Column) -> Column:
-            return F.size(F.filter(words, lambda w, i: (i > 0) & (w == F.get(words, i - 1)))) * 100 > F.size(words) * percent
 
-        return F.get(F.transform(F.array(word_array(t)), over), F.lit(0))
+def with_features(df: DataFrame, text: str = "text", size: int = WORD_WINDOW, keep: bool = False) -> DataFrame:
+    """Adds n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (all long); keep: _words and _lines too."""
+    if taken := set(df.columns) & {*MEASURES}:
+        raise ValueError(f"columns {sorted(taken)} exist already")
+    parts = Parts.of(_text(text), F.col("_words"), F.col("_lines"), size)
+    out = _shared(df, text).withColumns({m: getattr(parts, m) for m in MEASURES})
+    return out if keep else out.drop("_words", "_lines")
 
-    return rejects
 
+def measured_parts(text: str = "text") -> Parts:
+    """The parts of a table from ``with_features`` that kept its arrays."""
+    return Parts(_text(text), F.col("_words"), F.col("_lines"), *map(F.col, MEASURES))
 
-def _dup_lines(percent: int) -> Callable[[Column], Column]:
-    def rejects(t: Column) -> Column:
-        def over(lines: Column) -> Column:
-            return (F.size(lines) - F.size(F.array_distinct(lines))) * 100 > F.size(lines) * percent
 
-        return F.get(F.transform(F.array(line_array(t)), over), F.lit(0))
+@dataclass(frozen=True)
+class Rule:
+    """name, and the condition on a document's parts that rejects it."""
 
-    return rejects
+    name: str
+    rejects: Callable[[Parts], Column]
 
 
-def _word_length(least: int, most: int) -> Callable[[Column], Column]:
-    def rejects(t: Column) -> Column:
-        def outside(words: Column) -> Column:
-            chars = F.length(F.array_join(words, ""))
-            return (chars < F.size(words) * least) | (chars > F.size(words) * most)
+def _letters(text: Column) -> Column:
+    return F.length(F.regexp_replace(text, r"[^\p{L}]+", ""))
 
-        return F.get(F.transform(F.array(word_array(t)), outside), F.lit(0))
 
-    return rejects
+def _stutter(words: Column) -> Column:
+    """Words equal to the one before."""
+    return F.size(F.filter(words, lambda w, i: (i > 0) & (w == F.get(words, i - 1))))
 
 
 #: Rejections that hold whatever else a document is like.
 BASE_RULES = (
-    Rule("few_words", lambda t: F.size(word_array(t)) < 20),
-    Rule("repeated_windows", lambda t: repeat_share_exceeds(t, 30)),
+    Rule("few_words", lambda p: p.n_words < 20),
+    Rule("repeated_windows", lambda p: p.n_repeat_words * 100 > p.n_words * 30),
 )
 #: Further rules; each threshold lies well clear of ordinary prose.
 RULES = (
-    Rule("symbols", _per_word(r"[#*$%&|<>]", 10)),
-    Rule("exclamations", _per_word(r"!", 20)),
-    Rule("capitals", lambda t: F.regexp_count(t, F.lit(r"\p{Lu}")) * 100 > F.regexp_count(t, F.lit(r"\p{L}")) * 40),
-    Rule("repeated_lines", _dup_lines(40)),
-    Rule("stutter", _stutter(30)),
-    Rule("word_length", _word_length(2, 14)),
-    Rule("few_letters", lambda t: F.regexp_count(t, F.lit(r"\p{L}")) * 100 < F.length(F.regexp_replace(t, _SPACE, "")) * 50),
+    Rule("symbols", lambda p: p.n_symbols * 100 > p.n_words * 10),
+    Rule("exclamations", lambda p: F.regexp_count(p.text, F.lit("!")) * 100 > p.n_words * 20),
+    Rule("capitals", lambda p: F.regexp_count(p.text, F.lit(r"\p{Lu}")) * 100 > _letters(p.text) * 40),
+    Rule("repeated_lines", lambda p: p.n_dup_lines * 100 > F.size(p.lines) * 40),
+    Rule("stutter", lambda p: _stutter(p.words) * 100 > p.n_words * 30),
+    Rule("word_length", lambda p: (p.word_chars < p.n_words * 2) | (p.word_chars > p.n_words * 14)),
+    Rule("few_letters", lambda p: _letters(p.text) * 100 < p.word_chars * 50),
 )
 
 
+def _sample(df: DataFrame, text: str, rows: int) -> list[str]:
+    """Starts of some texts: of a random share of the rows the first; a table too small for that gives random ones."""
+    start = df.select(F.left(_text(text), F.lit(SAMPLE_CHARS)).alias("t"))
+    found = start.where(F.rand(17) * SAMPLE_SHARE < 1).take(rows)
+    if len(found) < rows:
+        found = start.orderBy(F.rand(17)).limit(rows).collect()
+    return [r.t for r in found]
+
+
 def measure(df: DataFrame, rules: tuple[Rule, ...], text: str = "text", rows: int = SAMPLE_ROWS) -> dict[str, tuple[float, float]]:
-    """Seconds and share rejected of each rule on the first ``rows`` rows."""
+    """Seconds and share rejected of each rule on ``rows`` rows, beyond what words and lines take."""
     spark = df.sparkSession
-    sample = df.select(F.left(_text(text), F.lit(SAMPLE_CHARS)).alias("t")).take(rows)
+    sample = _sample(df, text, rows)
     if not sample:
         return {r.name: (1.0, 0.0) for r in rules}
-    local = spark.createDataFrame([(x.t,) for x in sample], "t string").coalesce(1)
-    local = local.select("t", F.explode(F.sequence(F.lit(1), F.lit(SAMPLE_COPIES)))).select("t")
+    local = spark.createDataFrame([(x,) for x in sample], "t string").coalesce(1)
+    local = _shared(local.select("t", F.explode(F.sequence(F.lit(1), F.lit(SAMPLE_COPIES)))).select("t"), "t")
+    arrays = F.size("_words") + F.size("_lines") < 0
+    parts = Parts.of(F.col("t"), F.col("_words"), F.col("_lines"))
 
     def run(condition: Column) -> tuple[float, int]:
-        query = local.select(F.count_if(condition).alias("n"))
+        query = local.select(F.count_if(arrays | condition).alias("n"))
         query.collect()  # compiles
         began = time.perf_counter()
         n = query.collect()[0].n
@@ -190,7 +203,7 @@ def measure(df: DataFrame, rules: tuple[Rule, ...], text: str = "text", rows: in
     empty, _ = run(F.length("t") < 0)
     found = {}
     for rule in rules:
-        seconds, n = run(rule.rejects(F.col("t")))
+        seconds, n = run(rule.rejects(parts))
         found[rule.name] = (max(seconds - empty, 1e-4), n / (len(sample) * SAMPLE_COPIES))
     return found
 
@@ -201,11 +214,11 @@ def in_order(rules: tuple[Rule, ...], measured: dict[str, tuple[float, float]])
     return tuple(sorted(rules, key=lambda r: (-max(measured[r.name][1], least) / measured[r.name][0], r.name)))
 
 
-def first_rejection(rules: tuple[Rule, ...], text: Column) -> Column:
-    """Name of the first rule in order that rejects the text, null if none does."""
-    out = F.when(rules[0].rejects(text), rules[0].name)
+def first_rejection(rules: tuple[Rule, ...], parts: Parts) -> Column:
+    """Name of the first rule in order that rejects a document, null if none does."""
+    out = F.when(rules[0].rejects(parts), rules[0].name)
     for rule in rules[1:]:
-        out = out.when(rule.rejects(text), rule.name)
+        out = out.when(rule.rejects(parts), rule.name)
     return out
 
 
@@ -219,7 +232,8 @@ def quality_cascade(df: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + RULES,
     if out in df.columns:
         raise ValueError(f"column {out} exists already")
     ordered = in_order(rules, measure(sample if sample is not None else df, rules, text))
-    return df.withColumn(out, first_rejection(ordered, _text(text)))
+    parts = Parts.of(_text(text), F.col("_words"), F.col("_lines"))
+    return _shared(df, text).withColumn(out, first_rejection(ordered, parts)).drop("_words", "_lines")
 
 
 def keep_good(df: DataFrame, text: str = "text") -> DataFrame:

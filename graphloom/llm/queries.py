@@ -67,13 +67,14 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base measures of every document and whether the cascade keeps it."""
-    from .quality import RULES, first_rejection, in_order, measure, with_features
+    from .quality import BASE_RULES, RULES, first_rejection, in_order, measure, measured_parts, with_features
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     rules = in_order(RULES, measure(docs, RULES))
-    done = with_features(docs).withColumn("base_failed", (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30))
-    rejected = first_rejection(rules, F.coalesce("text", F.lit("")))
-    kept = F.when(F.col("base_failed"), False).otherwise(rejected.isNull())
+    parts = measured_parts()
+    few, repeated = (r.rejects(parts) for r in BASE_RULES)
+    done = with_features(docs, keep=True).withColumn("base_failed", few | repeated)
+    kept = F.when(F.col("base_failed"), False).otherwise(first_rejection(rules, parts).isNull())
     return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
 
 

@@ -32,7 +32,7 @@ def test_features_equal_brute_force(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = quality.with_features(df).orderBy("doc_id").collect()
     assert [tuple(r[2:7]) for r in got] == [features(x) for x in texts]
-    over = df.select(quality.repeat_share_exceeds(F.coalesce("text", F.lit("")), 30).alias("x"), "doc_id").orderBy("doc_id").collect()
+    over = quality.with_features(df, keep=True).select(quality.BASE_RULES[1].rejects(quality.measured_parts()).alias("x"), "doc_id").orderBy("doc_id").collect()
     assert [bool(r.x) for r in over] == [features(x)[4] * 100 > features(x)[0] * 30 for x in texts]
 
 
@@ -44,7 +44,7 @@ def test_cascade_verdicts_do_not_depend_on_the_order(spark):
     df = spark.createDataFrame([(i, x, "kept", 0.5) for i, x in enumerate(texts)], "doc_id long, text string, name string, cost double")
     rules = quality.BASE_RULES + quality.RULES
     for order in (rules, rules[::-1]):
-        found = df.select("doc_id", quality.first_rejection(order, F.coalesce("text", F.lit(""))).alias("r")).collect()
+        found = quality.with_features(df, keep=True).select("doc_id", quality.first_rejection(order, quality.measured_parts()).alias("r")).collect()
         assert {r.doc_id for r in found if r.r is None} == {0}
     assert [r.text for r in quality.keep_good(df).collect()] == [PROSE] and quality.keep_good(df).columns == df.columns
     assert quality.keep_good(df.limit(0)).count() == 0
