@@ -24,8 +24,9 @@ times the common shingles are at least ``percent`` times those of either.
 Sets are compared by 64-bit shingle hashes, classes by 128 bits.  Nothing is
 capped or sampled, and no pairs of a group are sent, only links that span it.
 An empty or null text has no set, and links to nothing; a text with fewer words
-than a shingle has its whole word sequence as the only one.  Null keys take no
-part in the smallest key of a component.  Repeated rows are one class.
+than a shingle has its whole word sequence as the only one.  Null keys (and
+-2 ** 63, their stand-in) take no part in the smallest key of a component.
+Repeated rows are one class.
 """
 
 from __future__ import annotations

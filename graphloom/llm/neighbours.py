@@ -194,17 +194,19 @@ def nearest(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str =
     def answers(part: pa.RecordBatch, matrix: np.ndarray, ids: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
         asked_ = _matrix(part.column(4))
         low = offsets[:-1]
+        margin = 4 * np.finfo(np.float64).eps * matrix.shape[1] * np.sqrt((matrix**2).sum(axis=1).max())
         found_ids, found_scores = [], []
         for i in range(0, len(asked_), 256):
             scores = asked_[i : i + 256] @ matrix.T
-            some = min(4 * (k + 1), len(matrix))
-            close = np.argpartition(-scores, some - 1, axis=1)[:, :some]
+            last = max(0, len(matrix) - k - 1)
+            # all that rounding may put among the best, so that no tie is cut
+            least = np.partition(scores, last, axis=1)[:, last] - margin * np.sqrt((asked_[i : i + 256] ** 2).sum(axis=1))
             for j in range(len(scores)):
+                close = np.flatnonzero(scores[j] >= least[j])
                 # one fixed order of summing, whatever the block
-                exact = np.einsum("ij,ij->i", matrix[close[j]], np.broadcast_to(asked_[i + j], (some, matrix.shape[1])))
-                top = close[j][np.lexsort((ids[low[close[j]]], -exact))][: k + 1]
-                at = {int(c): s for c, s in zip(close[j], exact, strict=True)}
-                wide = [(int(m), at[int(c)]) for c in top for m in ids[offsets[c] : offsets[c + 1]]]
+                exact = np.einsum("ij,ij->i", matrix[close], np.broadcast_to(asked_[i + j], (len(close), matrix.shape[1])))
+                best = np.lexsort((ids[low[close]], -exact))[: k + 1]
+                wide = [(int(m), s) for c, s in zip(close[best].tolist(), exact[best].tolist(), strict=True) for m in ids[offsets[c] : offsets[c + 1]]]
                 own, best = np.array([w[0] for w in wide]), np.array([w[1] for w in wide])
                 keep = _best(own, best, k + 1)
                 found_ids.append(own[keep])

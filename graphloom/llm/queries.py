@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import bounded_batches
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return bounded_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _vocabulary(name: str = "byte_bpe_50k.tiktoken") -> str:
@@ -133,4 +135,44 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_main_text": op10_main_text,
 }
 
-SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+SQL: dict[str, str] = {
+    "op3_jaccard": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 4 THEN [array_to_string(ws[i:i + 3], ' ') FOR i IN range(1, len(ws) - 2)] WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS shingle FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        common AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s AS a JOIN s AS b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+        link AS (SELECT u, v FROM common JOIN n AS x ON x.doc_id = u JOIN n AS y ON y.doc_id = v WHERE 100 * c >= 85 * (x.n + y.n - c)),
+        way AS (SELECT u, v FROM link UNION ALL SELECT v, u FROM link),
+        reach AS (SELECT u, v FROM way UNION SELECT reach.u, way.v FROM reach JOIN way ON way.u = reach.v)
+        SELECT w.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, least(w.doc_id, min(reach.v)) AS component_id
+        FROM w LEFT JOIN n USING (doc_id) LEFT JOIN reach ON reach.u = w.doc_id GROUP BY w.doc_id
+    """,
+    "op5_quality": rf"""
+        WITH w AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS.format("coalesce(text, '')")} AS ws, [x FOR x IN string_split(coalesce(text, ''), chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS ls FROM documents),
+        places AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w)),
+        twice AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS k FROM places),
+        covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM twice WHERE k > 1) GROUP BY doc_id),
+        m AS (
+            SELECT doc_id, t, ws, ls, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+                (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words, len(regexp_extract_all(t, '\p{{L}}')) AS letters
+            FROM w LEFT JOIN covered USING (doc_id)
+        )
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+            NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR n_symbols * 100 > n_words * 10 OR len(regexp_extract_all(t, '!')) * 100 > n_words * 20
+                OR len(regexp_extract_all(t, '\p{{Lu}}')) * 100 > letters * 40 OR n_dup_lines * 100 > len(ls) * 40 OR len([i FOR i IN range(2, len(ws) + 1) IF ws[i] = ws[i - 1]]) * 100 > n_words * 30
+                OR word_chars < n_words * 2 OR word_chars > n_words * 14 OR letters * 100 < word_chars * 50) AS kept
+        FROM m
+    """,
+    "op9_substrings": f"""
+        WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+        word AS (SELECT doc_id, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS p FROM w),
+        win AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 19], ' ')) AS key FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w)),
+        late AS (SELECT doc_id, i FROM win QUALIFY row_number() OVER (PARTITION BY key ORDER BY doc_id, i) > 1),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM late),
+        left_ AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+        SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(left_.n, 0))::BIGINT AS n_removed, sha256(coalesce(left_.t, '')) AS kept_sha256
+        FROM w LEFT JOIN left_ USING (doc_id)
+    """,
+}
