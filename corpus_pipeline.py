@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import jaccard, packing, quality, secrets, substrings
 from graphloom.llm.bpe import read_ranks
-from graphloom.llm.shared import written
+from graphloom.llm.shared import bounded_batches, written
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -63,7 +63,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = bounded_batches(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
