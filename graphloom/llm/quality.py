@@ -6,8 +6,8 @@ are put in order of rejection per cost.  The cascade is one CASE expression, so
 a document is put to the next rule only if no rule before rejected it.  The
 order decides how much is computed, never the verdict.
 
-Words and lines of a text are made once, in a projection of their own, and all
-measures and rules read them; dear expressions stay within the CASE.
+Words and lines of a text are made once, and all measures and rules read them;
+dear expressions stay within the CASE.
 
 Everything is computed within a row: no shuffle, nothing collected but the
 sample.  A null text counts as empty; an empty text has no words and fails the
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 WORD_WINDOW = 8
 #: Rows and characters of each on which costs are measured, from one row in SAMPLE_SHARE.
-SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_COPIES, SAMPLE_SHARE = 256, 20_000, 4, 64
+SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_COPIES, SAMPLE_SHARE = 256, 20_000, 2, 64
 
 _SPACE = "\t\n\x0b\x0c\r"
 _WORD = r"[^\x20\x09-\x0D]"
@@ -189,12 +189,11 @@ def measure(df: DataFrame, rules: tuple[Rule, ...], text: str = "text", rows: in
     if not sample:
         return {r.name: (1.0, 0.0) for r in rules}
     local = spark.createDataFrame([(x,) for x in sample], "t string").coalesce(1)
-    local = _shared(local.select("t", F.explode(F.sequence(F.lit(1), F.lit(SAMPLE_COPIES)))).select("t"), "t")
-    arrays = F.size("_words") + F.size("_lines") < 0
+    local = _shared(local.select("t", F.explode(F.sequence(F.lit(1), F.lit(SAMPLE_COPIES)))).select("t"), "t").cache()  # of a bounded sample
     parts = Parts.of(F.col("t"), F.col("_words"), F.col("_lines"))
 
     def run(condition: Column) -> tuple[float, int]:
-        query = local.select(F.count_if(arrays | condition).alias("n"))
+        query = local.select(F.count_if(condition).alias("n"))
         query.collect()  # compiles
         began = time.perf_counter()
         n = query.collect()[0].n
@@ -205,6 +204,7 @@ def measure(df: DataFrame, rules: tuple[Rule, ...], text: str = "text", rows: in
     for rule in rules:
         seconds, n = run(rule.rejects(parts))
         found[rule.name] = (max(seconds - empty, 1e-4), n / (len(sample) * SAMPLE_COPIES))
+    local.unpersist()
     return found
 
 
@@ -232,8 +232,10 @@ def quality_cascade(df: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + RULES,
     if out in df.columns:
         raise ValueError(f"column {out} exists already")
     ordered = in_order(rules, measure(sample if sample is not None else df, rules, text))
-    parts = Parts.of(_text(text), F.col("_words"), F.col("_lines"))
-    return _shared(df, text).withColumn(out, first_rejection(ordered, parts)).drop("_words", "_lines")
+    t = _text(text)
+    # one expression, as a filter on it would be moved below a projection of the arrays and make them again for every use
+    verdict = _let(word_array(t), lambda words: _let(line_array(t), lambda lines: first_rejection(ordered, Parts.of(t, words, lines))))
+    return df.withColumn(out, verdict)
 
 
 def keep_good(df: DataFrame, text: str = "text") -> DataFrame:
