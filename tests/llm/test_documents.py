@@ -140,17 +140,17 @@ def test_pages_without_an_article_by_paths():
     assert lines[0] == "Heading" and len(lines) == 6
 
 
-PROSE = [f"Paragraph {i}, with a clause; and one more. It goes on for a while, as text does." for i in range(5)]
+PARAGRAPHS = [f"Paragraph {i}, with a clause; and one more. It goes on for a while, as text does." for i in range(5)]
 
 
 def test_scores_decide_on_pages_with_a_mark():
-    body = "".join(f"<p>{x}</p>" for x in PROSE)
+    body = "".join(f"<p>{x}</p>" for x in PARAGRAPHS)
     teasers = "".join(f"<article><h3><a href={i}>More {i}</a></h3><p>Short words</p></article>" for i in range(3))
-    assert html.main_text(f"<body><div>{body}</div><div>{teasers}</div></body>").split("\n") == PROSE
+    assert html.main_text(f"<body><div>{body}</div><div>{teasers}</div></body>").split("\n") == PARAGRAPHS
     links = "".join(f"<div><a href={i}>Some place {i}</a> | <a href=x>other place</a></div>" for i in range(3))
     page = f"<body><div>Some words beside</div><article>{body}<ul><li>Short item</ul>{links}</article></body>"
     lines = html.main_text(page).split("\n")  # the first links are smoothed by the text before them
-    assert lines[:6] == [*PROSE, "Short item"] and "Some place 2 | other place" not in lines and len(lines) < 8
+    assert lines[:6] == [*PARAGRAPHS, "Short item"] and "Some place 2 | other place" not in lines and len(lines) < 8
 
 
 @pytest.mark.parametrize(("page", "text"), [(None, ""), ("", ""), ("plain &lt;b&gt;  text", "plain <b> text"), ("<p>a<p>b", "a\nb"), ("<article><p>1 < 2 & 3 &am</p>", "1 < 2 & 3 &am"), ("<article><p>x</p><!-- <p>y</p> --><p>z", "x\nz"), ("<article>a&nbsp;&#160;b</article>", "a b")])
