@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +18,10 @@ SUBJECTS, VALUES = 5, 3
 
 def graph_seed(triples: DataFrame) -> DataFrame:
     """One row with the counts of a graph and the seed drawn from them, 16 hex digits."""
-    counts = triples.agg(F.count("*").alias("triples"), F.count_distinct("s_kind", "s").alias("subjects"), F.count_distinct("p").alias("predicates"), F.count_distinct("o_kind", "o").alias("objects"))
+    # one aggregate each: distinct counts together would send every triple once for each of them
+    wanted = {"triples": F.count("*"), "subjects": F.count_distinct("s_kind", "s"), "predicates": F.count_distinct("p"), "objects": F.count_distinct("o_kind", "o")}
+    each = [triples.agg(n.alias("n")).select(F.lit(name).alias("name"), "n") for name, n in wanted.items()]
+    counts = reduce(DataFrame.unionByName, each).agg(*(F.max(F.when(F.col("name") == name, F.col("n"))).alias(name) for name in wanted))
     text = F.concat_ws("|", *(F.col(c).cast("string") for c in ("triples", "subjects", "predicates", "objects")))
     return counts.withColumn("seed", F.substring(F.sha2(text, 256), 1, 16))
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.terms import RDF_TYPE, RDFS_LABEL
-from ..functions.text import fallback_label, humanize, iri_fragment, point_id, shard_of, stable_score, text_digest
+from ..functions.text import POINT_NAMESPACE, fallback_label, humanize, iri_fragment, point_id, shard_of, stable_score, text_digest
 from ..operators import evaluate, labels, sampling, scan, search, textify, walk
 from ..operators.config import GraphConfig, Materialization, TargetConfig
 from ..sources.triples import BASE, table_triples
@@ -130,9 +130,15 @@ def digest_shards(spark, sf_dir):
     return rows.select("s_suppkey", shard_of(text_digest(F.col("s_name")), 256).alias("shard"))
 
 
-@query()
+_NAMESPACE = "".join(f"\\x{POINT_NAMESPACE.replace('-', '')[i : i + 2]}" for i in range(0, 32, 2))
+
+
+@query(f"""
+WITH h AS (SELECT s_suppkey, sha1('{_NAMESPACE}'::BLOB || encode('tables' || chr(0) || '{BASE}supplier/' || s_suppkey || chr(0) || s_name)) AS h FROM supplier)
+SELECT s_suppkey, concat_ws('-', h[1:8], h[9:12], '5' || h[14:16], substr('89ab', (instr('0123456789abcdef', h[17:17]) - 1) % 4 + 1, 1) || h[18:20], h[21:32]) AS id FROM h
+""")
 def point_ids(spark, sf_dir):
-    """Stable ids of suppliers as points; DuckDB has no UUIDv5."""
+    """Stable ids of suppliers as points, UUIDv5 by its definition."""
     rows = spark.read.parquet(f"{sf_dir}/supplier.parquet")
     return rows.select("s_suppkey", point_id(F.lit("tables"), F.concat(F.lit(BASE + "supplier/"), F.col("s_suppkey").cast("string")), F.col("s_name")).alias("id"))
 

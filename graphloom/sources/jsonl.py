@@ -10,7 +10,7 @@ from ..functions.text import WHITE
 RECORD = "iris array<string>, iri string, label string, embedding_text string, repr string, iri_count long"
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Columns file, line (from 1) and value.
 
     Rows of a split come in order; the splits of a file are put in order by
@@ -27,7 +27,7 @@ def _blank(value):
     return F.length(F.regexp_replace(value, WHITE, "")) == 0
 
 
-def read_jsonl(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str | list[str], limit: int | None = None) -> DataFrame:
     """Columns file, line, those of RECORD, and extra with all other keys as JSON text.
 
     Blank lines are passed over, but count for the limit of lines per file.  A

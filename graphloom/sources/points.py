@@ -49,20 +49,33 @@ def read_points(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).parquet(path)
 
 
+def check_dimension(points: DataFrame, path: str) -> None:
+    """Error if new vectors differ in size from each other or from those of a collection."""
+    sizes = [r.d for r in points.select(F.size("vector").alias("d")).distinct().limit(2).collect()]
+    there = [r.d for r in read_points(points.sparkSession, path).select(F.size("vector").alias("d")).limit(1).collect()]
+    if len({*sizes, *there}) > 1:
+        raise ValueError(f"vectors of dimension {sorted(sizes)} do not fit collection {path}" + (f" of dimension {there[0]}" if there else ""))
+
+
 def upsert(points: DataFrame, path: str) -> None:
     """Insert or replace points by id within their graphs; other graphs' folders stay untouched.
 
+    Points without a graph are a graph of their own.  Of several new points of
+    one id, the one of the greatest content hash stays, whatever their order.
     The new state of the graphs concerned is written beside the table first, as
     a table cannot be read while it is overwritten, and then put in place of
-    just those folders.
+    just those folders; who reads meanwhile may see some of them replaced.
     """
     spark = points.sparkSession
     ensure_collection(spark, path, create=True)
+    check_dimension(points, path)
     staged = f"{path.rstrip('/')}-staged-{uuid.uuid4().hex}"
     fresh = points.withColumn("version", F.lit(1))
-    graphs = points.select("graph").distinct()
-    old = read_points(spark, path).join(graphs, "graph", "left_semi").select(*points.columns).withColumn("version", F.lit(0))
-    last = F.row_number().over(Window.partitionBy("graph", "id").orderBy(F.desc("version")))
+    graphs = points.select(F.col("graph").alias("concerned")).distinct()
+    old = read_points(spark, path)
+    old = old.join(graphs, old.graph.eqNullSafe(F.col("concerned")), "left_semi").select(*points.columns).withColumn("version", F.lit(0))
+    content = F.xxhash64(F.to_json(F.struct(*points.columns)))
+    last = F.row_number().over(Window.partitionBy("graph", "id").orderBy(F.desc("version"), F.desc(content)))
     merged = old.unionByName(fresh).withColumn("place", last).where(F.col("place") == 1).drop("place", "version")
     merged.write.partitionBy("graph").parquet(staged)
     rows = spark.read.schema(SCHEMA).parquet(staged)

@@ -28,7 +28,7 @@ def test_agrees_with_sql(spark, small, duck, name):
     assert rounded(found.select(*sorted(names)).collect()) == rounded([tuple(r[names.index(n)] for n in sorted(names)) for r in cur.fetchall()])
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL) - {"textify_targets"}))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
 def test_runs(spark, small, name):
     assert entry.queries()[name](spark, small).count() > 0
 

@@ -101,6 +101,24 @@ def test_upsert(spark, tmp_path):
         points.to_points(records(spark, [""]), "one", embedder).collect()
 
 
+def test_upsert_without_graph_dimension_and_repeated_ids(spark, tmp_path):
+    path = str(tmp_path / "p")
+    p = spark.createDataFrame([("a", [1.0, 0.0], None), ("b", [0.0, 1.0], None), ("c", [1.0, 1.0], "g")], "id string, vector array<float>, graph string")
+    whole = [F.array(F.lit("i")).alias("iri"), *(F.lit(None).cast("string").alias(c) for c in ("label", "repr")), F.lit(1).cast("long").alias("iri_count"), F.create_map().cast("map<string,string>").alias("extra")]
+    rows = p.select("id", "vector", *whole, "graph")
+    points.upsert(rows, path)
+    points.upsert(rows.where("id = 'b'").withColumn("label", F.lit("new")), path)
+    assert {(r.id, r.label) for r in points.read_points(spark, path).collect()} == {("a", None), ("b", "new"), ("c", None)}
+    two = rows.where("id = 'a'").withColumn("label", F.lit("one")).unionByName(rows.where("id = 'a'").withColumn("label", F.lit("two")))
+    kept = set()
+    for x in (two, two.orderBy(F.desc("label"))):
+        points.upsert(x, path)
+        kept.add(points.read_points(spark, path).where("id = 'a'").first().label)
+    assert len(kept) == 1
+    with pytest.raises(ValueError):
+        points.upsert(rows.withColumn("vector", F.array(F.lit(1.0)).cast("array<float>")), path)
+
+
 def test_stream_is_idempotent(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
