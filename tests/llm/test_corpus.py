@@ -295,3 +295,34 @@ def test_queries_have_names_of_their_operators():
 
     assert {int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES} == set(range(1, 11)) and set(queries.SQL) <= set(queries.QUERIES)
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_ties_of_very_many_vectors_go_to_the_smaller_id(spark):
+    """600 vectors that tie under the query, in a bucket that all see."""
+    rng = np.random.default_rng(5)
+    rows = [(0, [1.0] + [0.0] * 7)] + [(i, [0.5, *rng.standard_normal(7).round(3).tolist()]) for i in range(1, 601)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = neighbours.nearest(df, F.col("vec_id") == 0, probed=1.0).orderBy("rank").collect()
+    assert [(r["rank"], r.id, r.score) for r in got] == [(i, i, 0.5) for i in range(1, 21)]
+
+
+def test_words_of_two_letters_are_not_copies(spark):
+    bits = [0]
+    while len(bits) < 1024:
+        bits += [1 - x for x in bits]
+    a, b = "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+    rest = [f"w{i}" for i in range(30)]
+    rows = [(1, " ".join([a, *rest])), (2, " ".join([b, *rest[:2]])), (3, a), (4, b)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert all(r.component_id == r.key for r in jaccard.near_duplicates(df, size=4, percent=85).collect())
+    only = spark.createDataFrame([(1, " ".join([a, *rest[:19]])), (2, " ".join([b, *rest[:19]]))], "doc_id long, text string")
+    assert [r.n_removed for r in substrings.remove_repeats(only).collect()] == [0, 0]
+
+
+def test_groups_with_several_sets_and_null_keys_alone(spark):
+    """Copies under null keys only: one row stays; equal prefixes with unlike sets are one group."""
+    base = [f"w{i}" for i in range(100)]
+    rows = [(None, " ".join(base)), (None, " ".join(base)), (None, " ".join([*base, "end"])), (7, "one of its own kind here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    kept = jaccard.keep_one(df, size=4, percent=85).collect()
+    assert sorted(r.doc_id is None for r in kept) == [False, True]

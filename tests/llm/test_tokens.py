@@ -10,7 +10,7 @@ tiktoken = pytest.importorskip("tiktoken")
 
 from graphloom.llm import packing, unigram
 from graphloom.llm.bpe import Encoder, bpe_decode, bpe_encode, read_ranks
-from graphloom.llm.textblocks import blocks
+from graphloom.llm.textblocks import blocks, hash_ranges
 
 RANKS = read_ranks(P.path("byte_bpe_50k.tiktoken"))
 ODD = ["'s", "'re", " ", "  ", "\n", "\t", "'ll", "'", "a", "B", "é", "漢", "1", "٣", "!", "?", "'VE", "'ve", " 's", "😀", "　", "\x85", "\x1c", "<|endoftext|>", "l"]
@@ -56,6 +56,51 @@ def test_long_pretokens_and_a_full_cache(reference, monkeypatch):
     assert encoded(Encoder(RANKS), texts) == [reference.encode_ordinary(x) for x in texts]
 
 
+def two_letter_pair(n):
+    """Two words whose polynomial hashes modulo 2 ** 64 are equal, whatever the base and the letters' values."""
+    bits = [0]
+    while len(bits) < n:
+        bits += [1 - x for x in bits]
+    return "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+
+
+@pytest.mark.parametrize("n", [256, 1024, 4096])
+def test_words_of_two_letters_are_told_apart(reference, n):
+    texts = [*two_letter_pair(n), " ".join(two_letter_pair(n))]
+    assert encoded(Encoder(RANKS), texts) == [reference.encode_ordinary(x) for x in texts]
+    both = np.frombuffer("".join(two_letter_pair(n)).encode(), dtype=np.uint8)
+    hashes = hash_ranges(both, np.array([0, n]), np.array([n, 2 * n]))
+    assert hashes[0] != hashes[1]
+
+
+def test_equal_first_hashes_are_told_apart(reference, monkeypatch):
+    """With a first hash that knows only lengths, the second one decides."""
+    from graphloom.llm import bpe
+
+    real = bpe.hash_ranges
+    monkeypatch.setattr(bpe, "hash_ranges", lambda data, a, b, seed=1: (b - a).astype(np.uint64) if seed == 1 else real(data, a, b, seed))
+    monkeypatch.setattr(unigram, "hash_ranges", bpe.hash_ranges)
+    texts = odd_texts(100)
+    assert encoded(Encoder(RANKS), texts) == [reference.encode_ordinary(x) for x in texts]
+    counter = unigram.UnigramCounter(RANKS)
+    together = next(blocks(pa.array(texts)))
+    assert counter.rows(together).tolist() == [counter.rows(next(blocks(pa.array([x])))).item() if x else 0 for x in texts]
+
+
+def test_long_pretokens_are_scored_as_in_the_trie(monkeypatch):
+    counter = unigram.UnigramCounter(RANKS)
+    rng = random.Random(3)
+    for word in (two_letter_pair(1024)[0], "".join(rng.choice("etaoinshr") for _ in range(900)), "x" * 700):
+        data = np.frombuffer(word.encode(), dtype=np.uint8)
+        monkeypatch.setattr(unigram, "DEEPEST", 10**9)
+        whole = counter.counts(data, np.array([0]), np.array([len(data)]))[0]
+        monkeypatch.setattr(unigram, "_STRETCH", 300)
+        assert counter.long_count(data) == whole
+    monkeypatch.setattr(unigram, "DEEPEST", 256)
+    data = np.frombuffer(("q" * 100_000).encode(), dtype=np.uint8)
+    assert counter.counts(data, np.array([0]), np.array([len(data)]))[0] > 0
+
+
 def test_round_trip_in_spark(spark, reference):
     rows = [(1, "a b", "x"), (1, "a b", "x"), (None, None, None), (3, "", "y"), (4, "é漢 " * 2000, "z")]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
