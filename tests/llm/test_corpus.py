@@ -85,13 +85,17 @@ def test_large_group_links_classes_that_are_not_near_its_head(spark, monkeypatch
 
 
 @pytest.mark.parametrize("flip", [False, True])
-def test_verify_takes_both_sides_of_a_class(flip):
+def test_tiles_take_both_sides_of_a_class(flip):
+    """A class that comes once for each side is compared as both, in whichever order its rows come."""
     sides = [(True, False), (False, True)]
     rows = [(c, s) for s in (sides[::-1] if flip else sides) for c in (1, 2)]
-    sets = pa.array([[1, 2, 3, 4, 5]] * 4, pa.list_(pa.int64()))
-    columns = [pa.array([7] * 4, pa.int64()), *[pa.array([c for c, _ in rows], pa.int64())] * 2, pa.array([5] * 4, pa.int32()), sets, *(pa.array([s[i] for _, s in rows]) for i in range(2))]
-    batch = pa.RecordBatch.from_arrays(columns, names=["job", "c1", "c2", "n", "shingles", "left", "right"])
-    assert sum(b.num_rows for b in jaccard._verify(80)(iter([batch]))) == 1
+    ids, flags = [pa.array([c for c, _ in rows], pa.int64())] * 2, [pa.array([s[i] for _, s in rows]) for i in range(2)]
+    job = pa.array([7] * 4, pa.int64())
+    texts = pa.RecordBatch.from_arrays([job, *ids, pa.array(["a b c d e"] * 4), *flags], names=["job", "c1", "c2", "text", "left", "right"])
+    assert sum(b.num_rows for b in jaccard._tile_links(1, 80)(iter([texts]))) == 1
+    fixed = [pa.array([x] * 4, t) for x, t in ((5, pa.int32()), (1, pa.int32()), (3, pa.int64()), ([1, 2], pa.list_(pa.int64())))]
+    groups = pa.RecordBatch.from_arrays([job, *ids, *fixed, *flags], names=["job", "g", "h", "n", "rank", "last", "prefix", "left", "right"])
+    assert sum(b.num_rows for b in jaccard._filter(80)(iter([groups]))) == 1
 
 
 def test_keep_one(spark):
