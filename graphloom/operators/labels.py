@@ -11,8 +11,8 @@ from ..sources.tables import written
 from .config import GraphConfig, LabelProfile, Materialization, TargetConfig
 from .scan import first_literal
 
-#: Rounds in which profile labels may build on each other.
-PROFILE_ROUNDS = 3
+#: Most rounds in which profile labels may build on each other before that is an error.
+PROFILE_ROUNDS = 32
 
 
 def predicate_texts(triples: DataFrame, predicates: DataFrame, config: GraphConfig) -> DataFrame:
@@ -88,11 +88,33 @@ def _profiled(triples: DataFrame, chosen: DataFrame, profiles: list[LabelProfile
     return found.select("node", text.alias("text"))
 
 
+def _profile_texts(triples: DataFrame, chosen: DataFrame, profiles: list[LabelProfile], plain: DataFrame, rounds: int) -> DataFrame:
+    """Columns node and text of nodes with a profile, once a further round changes none.
+
+    Rounds read only the fields of those nodes and the plain labels of what they point to.
+    """
+    wanted = F.col("p").isin(*(p for x in profiles for p in x.fields.values())) & (F.col("o_kind") != BNODE)
+    fields = written(triples.where(wanted).join(chosen.select(F.col("node").alias("s")), "s", "left_semi").select("s", "p", "o_kind", "o"), "fields")
+    ends = fields.where(F.col("o_kind") == IRI).select(F.col("o").alias("node")).distinct()
+    near = written(plain.join(ends, "node", "left_semi"), "ends")
+    texts = written(_profiled(fields, chosen, profiles, near).where(F.col("text").isNotNull()), "texts")
+    if ends.join(chosen, "node", "left_semi").isEmpty():
+        return texts  # no profile builds on another
+    for _ in range(rounds):
+        labels = near.join(texts, "node", "full").select("node", F.coalesce("text", "label").alias("label"))
+        after = written(_profiled(fields, chosen, profiles, labels).where(F.col("text").isNotNull()), "texts")
+        before, texts = texts, after
+        both = after.join(before.withColumnRenamed("text", "before"), "node", "full")
+        if both.where(~F.col("text").eqNullSafe(F.col("before"))).isEmpty():
+            return texts
+    raise ValueError(f"label profiles have not settled after {rounds} rounds: nodes refer to each other in a circle, or in longer chains")
+
+
 def node_labels(triples: DataFrame, config: GraphConfig, profiles: list[LabelProfile] = (), rounds: int = PROFILE_ROUNDS) -> DataFrame:
     """Columns node and label: display labels of nodes as objects, profiles by type included.
 
-    Profiles may name nodes that have profiles themselves; each round builds on
-    the labels of the one before, for a bounded number of rounds.
+    Profiles may name nodes that have profiles themselves; rounds build on each
+    other until no label changes, and ValueError says that they do not settle.
     """
     plain = plain_labels(triples, config)
     if not profiles:
@@ -100,11 +122,8 @@ def node_labels(triples: DataFrame, config: GraphConfig, profiles: list[LabelPro
     # rounds read what others read too, so that each is written once
     plain = written(plain, "labels")
     chosen = written(_profile_of(triples, list(profiles)), "profiles")
-    labels = plain
-    for _ in range(rounds):
-        texts = _profiled(triples, chosen, list(profiles), labels).where(F.col("text").isNotNull())
-        labels = written(plain.join(texts, "node", "full").select("node", F.coalesce("text", "label").alias("label")), "labels")
-    return labels
+    texts = _profile_texts(triples, chosen, list(profiles), plain, rounds)
+    return plain.join(texts, "node", "full").select("node", F.coalesce("text", "label").alias("label"))
 
 
 def root_labels(triples: DataFrame, roots: DataFrame, config: TargetConfig, setup: Materialization | None = None, labels: DataFrame | None = None) -> DataFrame:
@@ -132,5 +151,3 @@ def root_labels(triples: DataFrame, roots: DataFrame, config: TargetConfig, setu
         tries.append(F.col("own"))
     fallback = display_label(F.lit(IRI), F.col("node"), F.lit(None).cast("string"))
     return base.select(F.col("node").alias("s"), F.coalesce(*tries, "plain", fallback).alias("label"))
-
-

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.terms import BNODE, IRI, LITERAL
 from ..functions.text import fallback_label, stable_score, text_digest
+from ..sources.tables import written
 from .config import GraphConfig, Materialization, TargetConfig
 from .labels import node_labels, normalize_value, predicate_texts, root_labels
 from .scan import first_literal, first_roots, root_iris
@@ -28,7 +29,11 @@ def shown_objects(steps: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def body_lines(triples: DataFrame, steps: DataFrame, labels: DataFrame, config: GraphConfig) -> DataFrame:
-    """Columns s and body: a line for each edge, by predicate and rank."""
+    """Columns s and body: a line for each edge, by predicate and rank.
+
+    The edges are written once, as both their predicates and their lines are read.
+    """
+    steps = written(steps, "steps")
     texts = predicate_texts(triples, steps, config)
     lines = shown_objects(steps, labels).join(texts, "p").select("s", "p", "rank", F.concat("text", F.lit(": "), "shown").alias("line"))
     ordered = F.array_sort(F.collect_list(F.struct("p", "rank", "line")))

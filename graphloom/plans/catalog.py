@@ -15,6 +15,7 @@ from ..functions.terms import RDF_TYPE, RDFS_LABEL
 from ..functions.text import POINT_NAMESPACE, fallback_label, humanize, iri_fragment, point_id, shard_of, stable_score, text_digest
 from ..operators import evaluate, labels, sampling, scan, search, textify, walk
 from ..operators.config import GraphConfig, Materialization, TargetConfig
+from ..sources.tables import written
 from ..sources.triples import BASE, table_triples
 
 V = BASE + "v/"
@@ -229,7 +230,7 @@ _SETUP = Materialization.from_dict(
 @query(f"SELECT '{BASE}supplier/' || s_suppkey AS s, s_name || ' of ' || n_name || ' / ' || r_name AS label FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 def profile_label(spark, sf_dir):
     """Suppliers labelled by a profile over nations with a profile of their own."""
-    t = table_triples(spark, sf_dir, SMALL)
+    t = written(table_triples(spark, sf_dir, SMALL), "triples")
     config = _SETUP.target("supplier")
     return labels.root_labels(t, scan.root_iris(t, config.type), config, _SETUP)
 
@@ -256,7 +257,7 @@ def _doc_sql(tables: tuple[str, ...], kind: str, predicates: tuple[str, ...], li
 @query("WITH " + _doc_sql((*SMALL, "orders"), "Customer", _DOC.include_predicates, 3, True) + " SELECT iri, label, embedding_text, sha256(embedding_text) AS digest FROM docs")
 def textify_documents(spark, sf_dir):
     """One text for every customer."""
-    t = table_triples(spark, sf_dir, (*SMALL, "orders"), reverse=True)
+    t = written(table_triples(spark, sf_dir, (*SMALL, "orders"), reverse=True), "triples")
     return textify.documents(t, _DOC).select("iri", "label", "embedding_text", "digest")
 
 
@@ -278,7 +279,7 @@ def textify_grouped(spark, sf_dir):
 @query()
 def textify_targets(spark, sf_dir):
     """Records of two targets together, with profiles."""
-    t = table_triples(spark, sf_dir, SMALL)
+    t = written(table_triples(spark, sf_dir, SMALL), "triples")
     return textify.textify(t, _SETUP).select("embedding_text", "label", "iri_count", F.array_join("iris", " ").alias("iris"), "digest")
 
 
@@ -293,7 +294,7 @@ def textify_targets(spark, sf_dir):
 )
 def legacy_documents(spark, sf_dir):
     """The older rendering of customers, one IRI for each text."""
-    t = table_triples(spark, sf_dir, (*SMALL, "orders"), reverse=True)
+    t = written(table_triples(spark, sf_dir, (*SMALL, "orders"), reverse=True), "triples")
     docs = textify.legacy_documents(t, V + "Customer", (RDFS_LABEL,), (RDF_TYPE, RDFS_LABEL), V + "given", V + "family")
     return textify.legacy_distinct(docs)
 

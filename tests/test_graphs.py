@@ -149,3 +149,14 @@ def test_legacy_keeps_one_iri_per_text(spark):
     got = texts(docs)
     assert all(t.startswith("entity: Ada L\n") and t.count("knows:") == 5 for t in got.values())
     assert textify.legacy_distinct(docs.withColumn("embedding_text", F.lit("x"))).first().iri == E + "a"
+
+
+def test_profiles_settle_over_long_chains(spark):
+    links = [(f"n{i}", "next", f"n{i + 1}") for i in range(6)]
+    setup = {"label_profiles": {"p": {"type": E + "T", "template": "{name}{next}", "fields": {"name": RDFS_LABEL, "next": E + "next"}}}, "targets": {"t": {"type": E + "T"}}}
+    profiles = list(Materialization.from_dict(setup).label_profiles.values())
+    rows = [(f"n{i}", RDF_TYPE, "T") for i in range(7)] + [(f"n{i}", RDFS_LABEL, f'"{i}"') for i in range(7)]
+    found = labels.node_labels(graph(spark, *rows, *links), GraphConfig(), profiles)
+    assert {r.node: r.label for r in found.collect()} == {f"{E}n{i}": "0123456"[i:] for i in range(7)}
+    with pytest.raises(ValueError, match="have not settled"):
+        labels.node_labels(graph(spark, *rows, *links, ("n6", "next", "n0")), GraphConfig(), profiles, rounds=3)
