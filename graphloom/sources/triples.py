@@ -1,19 +1,23 @@
-"""Triples from N-Triples and N-Quads text, from Parquet, and from tables by direct mapping."""
+"""Triples from RDF files, from Parquet, and from tables by direct mapping."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
 from pathlib import PurePosixPath
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.terms import BNODE, IRI, LITERAL, RDF_TYPE, RDFS_LABEL, TRIPLES
 from ..functions.text import file_stem
+from .rdf_files import READERS
 
 # Suffixes of RDF files.
 FORMATS = {".nt": "ntriples", ".nq": "nquads", ".ttl": "turtle", ".trig": "trig", ".rdf": "rdfxml", ".xml": "rdfxml", ".jsonld": "jsonld", ".hdt": "hdt", ".parquet": "parquet"}
 #: What can be read here; other formats are converted outside.
-READABLE = ("ntriples", "nquads", "parquet")
+READABLE = ("ntriples", "nquads", "turtle", "trig", "rdfxml", "parquet")
 
 _TERM = r'(<[^>]*>|_:[^\s]+|"(?:[^"\\]|\\.)*"(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?)'
 _LINE = rf"^\s*(<[^>]*>|_:[^\s]+)\s+(<[^>]*>)\s+{_TERM}\s*(<[^>]*>|_:[^\s.]+)?\s*\.\s*(?:#.*)?$"
@@ -78,6 +82,34 @@ def parse_ntriples(lines: DataFrame, graph: Column | None = None, strict: bool =
     ).dropDuplicates()
 
 
+#: Triples that a task holds while it parses a file.
+_BLOCK = 10_000
+
+
+def parse_files(files: DataFrame, kind: str, graph: str | None = None) -> DataFrame:
+    """Triples of whole files (columns value and path); a file that cannot be read raises an error that names it.
+
+    graph: name of the graph; by default the one that TriG names, else the file's.
+    """
+    fields = [f.split()[0] for f in TRIPLES.split(", ")]
+
+    def rows(text: str, path: str) -> Iterator[tuple]:
+        for named, s, p, o in READERS[kind](text, path):
+            yield (graph or named, s[0], s[1], p[1], *o, path)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for text, path in zip(batch["value"], batch["path"], strict=True):
+                found = rows(text, path)
+                while block := list(islice(found, _BLOCK)):
+                    yield pd.DataFrame(block, columns=[*fields, "path"], dtype=object)
+
+    parsed = files.select("value", "path").mapInPandas(run, TRIPLES + ", path string")
+    if kind != "trig":
+        parsed = parsed.withColumn("graph", F.coalesce("graph", file_stem(F.col("path"))))
+    return parsed.select(*fields).dropDuplicates()
+
+
 def load_triples(spark: SparkSession, path: str, graph: str | None = None) -> DataFrame:
     """The set of triples of a file or folder; the graph is named after the file if not given."""
     kind = guess_format(path)
@@ -85,6 +117,8 @@ def load_triples(spark: SparkSession, path: str, graph: str | None = None) -> Da
         raise ValueError(f"{kind} cannot be read here: convert {path} to N-Triples or Parquet")
     if kind == "parquet":
         return spark.read.schema(TRIPLES).parquet(path).dropDuplicates()
+    if kind in READERS:
+        return parse_files(spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name()), kind, graph)
     lines = spark.read.text(path)
     name = F.lit(graph) if graph is not None else None if kind == "nquads" else file_stem(F.input_file_name())
     return parse_ntriples(lines, name)

@@ -160,3 +160,47 @@ def test_profiles_settle_over_long_chains(spark):
     assert {r.node: r.label for r in found.collect()} == {f"{E}n{i}": "0123456"[i:] for i in range(7)}
     with pytest.raises(ValueError, match="have not settled"):
         labels.node_labels(graph(spark, *rows, *links, ("n6", "next", "n0")), GraphConfig(), profiles, rounds=3)
+
+
+TURTLE = '''@prefix ex: <http://e/> . @base <http://b/x> . # note
+PREFIX rdfs: <http://www.w3.org/2000/01/rdf-schema#>
+ex:s a ex:T ; rdfs:label "a\\"b\\u00e9"@en-GB, """long "quoted"
+text""", 'one' ; ex:n 1, -2.5, 3e4, true ; ex:to <y>, _:x, [ ex:in "v"^^ex:dt ; ] ; ex:all ( 1 ex:b ) ; .
+ex:a.b ex:p ex:c\\,d.
+[] ex:p ex:e .'''
+
+
+def loaded(spark, tmp_path, name, text):
+    (tmp_path / name).write_text(text)
+    return T.load_triples(spark, str(tmp_path / name)).collect()
+
+
+def test_turtle(spark, tmp_path):
+    rows = loaded(spark, tmp_path, "g.ttl", TURTLE)
+    assert {r.graph for r in rows} == {"g"}
+    of_s = {(r.p.rsplit("/", 1)[1], r.o_kind, r.o, r.o_lang, r.o_datatype) for r in rows if r.s == "http://e/s" and r.o_kind != "bnode"}
+    xsd = "http://www.w3.org/2001/XMLSchema#"
+    assert of_s == {
+        ("22-rdf-syntax-ns#type", "iri", "http://e/T", None, None), ("rdf-schema#label", "literal", 'a"bé', "en-GB", None), ("rdf-schema#label", "literal", 'long "quoted"\ntext', None, None), ("rdf-schema#label", "literal", "one", None, None),
+        ("n", "literal", "1", None, xsd + "integer"), ("n", "literal", "-2.5", None, xsd + "decimal"), ("n", "literal", "3e4", None, xsd + "double"), ("n", "literal", "true", None, xsd + "boolean"), ("to", "iri", "http://b/y", None, None),
+    }
+    assert {(r.s, r.o) for r in rows if r.p == "http://e/p" and r.s_kind == "iri"} == {("http://e/a.b", "http://e/c,d")}
+    inner = [r for r in rows if r.p == "http://e/in"]
+    assert [(r.o, r.o_datatype) for r in inner] == [("v", "http://e/dt")] and inner[0].s in {r.o for r in rows if r.p == "http://e/to"}
+    assert sorted(r.o for r in rows if r.p.endswith("#first")) == ["1", "http://e/b"]
+    with pytest.raises(Exception, match="bad.ttl:2: cannot be read"):
+        loaded(spark, tmp_path, "bad.ttl", "<http://e/a> <http://e/b>\n } .")
+    assert loaded(spark, tmp_path, "none.ttl", "") == []
+
+
+def test_trig_and_rdfxml(spark, tmp_path):
+    rows = loaded(spark, tmp_path, "g.trig", "@prefix e: <http://e/> . e:s e:p 1 . e:g { e:s e:p 2 . [] e:p 3 } GRAPH <http://h> { e:s e:p 4 }")
+    assert {(r.graph, r.o) for r in rows} == {(None, "1"), ("http://e/g", "2"), ("http://e/g", "3"), ("http://h", "4")}
+    xml = f"""<rdf:RDF xmlns:rdf="{RDF_TYPE.removesuffix("type")}" xmlns:e="http://e/" xml:base="http://b/">
+      <e:T rdf:about="s" e:short="v"><e:name xml:lang="fr">é</e:name><e:to rdf:resource="o"/><e:in><rdf:Description rdf:nodeID="x"/></e:in>
+      <e:n rdf:datatype="http://e/int">5</e:n><e:r rdf:parseType="Resource"><e:deep>d</e:deep></e:r></e:T></rdf:RDF>"""
+    rows = loaded(spark, tmp_path, "g.rdf", xml)
+    got = {(r.s, r.p, r.o, r.o_lang, r.o_datatype) for r in rows if r.s == "http://b/s" and not r.p.endswith("/r")}
+    s, e = "http://b/s", "http://e/"
+    assert got == {(s, RDF_TYPE, e + "T", None, None), (s, e + "short", "v", None, None), (s, e + "name", "é", "fr", None), (s, e + "to", "http://b/o", None, None), (s, e + "in", "_:x", None, None), (s, e + "n", "5", None, "http://e/int")}
+    assert [r.s for r in rows if r.p == e + "deep"] == [r.o for r in rows if r.p == e + "r"]
