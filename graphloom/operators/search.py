@@ -161,11 +161,11 @@ def facets(points: DataFrame, limit: int | None = None) -> DataFrame:
     return counts if limit is None else counts.orderBy(F.desc("count"), "graph").limit(limit)
 
 
-def results(hits: DataFrame) -> DataFrame:
-    """Hits as shown: first IRI, counts and texts filled in."""
+def results(hits: DataFrame, *keep: str) -> DataFrame:
+    """Hits as shown: first IRI, counts and texts filled in, after any columns to keep."""
     none = F.lit("")
     iris = F.coalesce("iri", F.array().cast("array<string>"))
-    return hits.select("id", "score", iris.alias("iris"), F.coalesce(F.get(iris, F.lit(0)), none).alias("primary_uri"), F.coalesce("iri_count", F.size(iris)).cast("long").alias("iri_count"), F.coalesce("label", none).alias("label"), F.coalesce("graph", none).alias("graph"), F.coalesce("repr", none).alias("repr"))
+    return hits.select(*keep, "id", "score", iris.alias("iris"), F.coalesce(F.get(iris, F.lit(0)), none).alias("primary_uri"), F.coalesce("iri_count", F.size(iris)).cast("long").alias("iri_count"), F.coalesce("label", none).alias("label"), F.coalesce("graph", none).alias("graph"), F.coalesce("repr", none).alias("repr"))
 
 
 def api_rows(hits: DataFrame) -> DataFrame:

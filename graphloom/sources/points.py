@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.embedding import Embedder, embedded
@@ -57,7 +57,7 @@ def check_dimension(points: DataFrame, path: str) -> None:
         raise ValueError(f"vectors of dimension {sorted(sizes)} do not fit collection {path}" + (f" of dimension {there[0]}" if there else ""))
 
 
-def upsert(points: DataFrame, path: str) -> None:
+def upsert(points: DataFrame, path: str) -> int:
     """Insert or replace points by id within their graphs; other graphs' folders stay untouched.
 
     Points without a graph are a graph of their own.  Of several new points of
@@ -65,12 +65,14 @@ def upsert(points: DataFrame, path: str) -> None:
     The new state of the graphs concerned is written beside the table first, as
     a table cannot be read while it is overwritten, and then put in place of
     just those folders; who reads meanwhile may see some of them replaced.
+    Returns the number of points given, counted as they are written.
     """
     spark = points.sparkSession
     ensure_collection(spark, path, create=True)
     check_dimension(points, path)
     staged = f"{path.rstrip('/')}-staged-{uuid.uuid4().hex}"
-    fresh = points.withColumn("version", F.lit(1))
+    given = Observation()
+    fresh = points.observe(given, F.count(F.lit(1)).alias("n")).withColumn("version", F.lit(1))
     graphs = points.select(F.col("graph").alias("concerned")).distinct()
     old = read_points(spark, path)
     old = old.join(graphs, old.graph.eqNullSafe(F.col("concerned")), "left_semi").select(*points.columns).withColumn("version", F.lit(0))
@@ -83,6 +85,7 @@ def upsert(points: DataFrame, path: str) -> None:
     spark.catalog.refreshByPath(path)
     target = spark._jvm.org.apache.hadoop.fs.Path(staged)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    return given.get["n"]
 
 
 def iri_index(points: DataFrame) -> DataFrame:
