@@ -40,7 +40,8 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--target", help="one target of the configuration instead of all")
     c.add_argument("--limit", type=int, help="roots of each target")
     c.add_argument("--format", choices=("jsonl", "json", "text"), default="jsonl")
-    c = command("sample", "Write a survey of a graph's types.", "graph", "output")
+    c = command("sample", "Write a survey of a graph's types, or sampled records of targets.", "graph", "output")
+    c.add_argument("--config", help="a configuration whose targets are sampled instead of types")
     c.add_argument("--limit", type=int, default=sampling.SUBJECTS, help="subjects of each type")
     c.add_argument("--values", type=int, default=sampling.VALUES, help="values of each predicate")
     c.add_argument("--seed")
@@ -94,8 +95,13 @@ def _textify(spark: SparkSession, a: argparse.Namespace) -> list[str]:
 
 
 def _sample(spark: SparkSession, a: argparse.Namespace) -> list[str]:
-    found = sampling.sample_types(load_triples(spark, a.graph), a.limit, a.values, a.seed)
-    (sinks.write_json if a.format == "json" else sinks.write_samples_text)(found, a.output)
+    triples = load_triples(spark, a.graph)
+    if a.config:
+        found = textify.sample_targets(triples, Materialization.from_toml(a.config), a.limit, a.seed)
+    else:
+        found = sampling.sample_types(triples, a.limit, a.values, a.seed)
+    as_text = sinks.write_targets_text if a.config else sinks.write_samples_text
+    (sinks.write_json if a.format == "json" else as_text)(found, a.output)
     return []
 
 

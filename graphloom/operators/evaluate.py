@@ -10,16 +10,34 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Depths at which recall is taken, and hits of each search.
 DEPTHS, HITS = (1, 5, 10, 20, 50), 50
+RUN = "query_id string, target_graph string, mode string, rank int, id string, score double"
 MODES = ("knn", "in_graph", "all_graph")
 #: Queries and points that meet in one block.
 QUERY_BLOCK, POINT_BLOCK = 1024, 1 << 16
 
 
+def top_rows(hits: DataFrame, points: DataFrame, n: int) -> DataFrame:
+    """The first hits of each search with what is known of their points."""
+    known = points.select("id", "iri", "label", "graph", "repr")
+    few = hits.where(F.col("rank") <= n).select("query_id", "mode", "rank", "score", "id")
+    return few.join(known, "id", "left").select("query_id", "mode", "rank", "score", "iri", "label", "graph", "repr")
+
+
+def write_run(hits: DataFrame, path: str) -> None:
+    """Keeps the hits of a run as a folder of JSON lines."""
+    hits.select(*(f.split()[0] for f in RUN.split(", "))).write.json(path)
+
+
+def read_run(spark: SparkSession, path: str) -> DataFrame:
+    """The hits of a run that was kept; a line that is none raises an error."""
+    return spark.read.schema(RUN).json(path, mode="FAILFAST")
+
+
 def recall_table(hits: DataFrame, depths: tuple[int, ...] = DEPTHS) -> DataFrame:
     """Columns query_id, target_graph, mode, k, overlap and recall; recall is null without exact hits."""
     ks = F.explode(F.array(*map(F.lit, depths))).alias("k")

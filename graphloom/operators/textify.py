@@ -10,6 +10,7 @@ from ..functions.text import fallback_label, stable_score, text_digest
 from ..sources.tables import written
 from .config import GraphConfig, Materialization, TargetConfig
 from .labels import node_labels, normalize_value, predicate_texts, root_labels
+from .sampling import graph_seed, sample_target_roots
 from .scan import first_literal, first_roots, root_iris
 from .walk import walk_one
 
@@ -40,12 +41,13 @@ def body_lines(triples: DataFrame, steps: DataFrame, labels: DataFrame, config:
     return lines.groupBy("s").agg(F.array_join(F.transform(ordered, lambda x: x.line), "\n").alias("body"))
 
 
-def documents(triples: DataFrame, config: TargetConfig, setup: Materialization | None = None, limit: int | None = None, name: str = "", labels: DataFrame | None = None) -> DataFrame:
+def documents(triples: DataFrame, config: TargetConfig, setup: Materialization | None = None, limit: int | None = None, name: str = "", labels: DataFrame | None = None, roots: DataFrame | None = None) -> DataFrame:
     """Columns target, iri, label, embedding_text and digest: a row for each root of a target.
 
-    Only the root's own edges are written, whatever the walk's depth.
+    Only the root's own edges are written, whatever the walk's depth.  roots:
+    column s, to use instead of the first ones of the target's type.
     """
-    roots = first_roots(root_iris(triples, config.type), limit)
+    roots = first_roots(root_iris(triples, config.type), limit) if roots is None else roots
     if labels is None:
         labels = node_labels(triples, config, list(setup.label_profiles.values()) if setup else [])
     heads = root_labels(triples, roots, config, setup, labels)
@@ -82,6 +84,26 @@ def textify(triples: DataFrame, setup: Materialization, target: str | None = Non
     return group_documents(every, cap)
 
 
+def sample_targets(triples: DataFrame, setup: Materialization, limit: int, seed: str | None = None, cap: int = IRI_CAP) -> DataFrame:
+    """Columns target, type and records: what uniformly sampled roots of each target become, as a list.
+
+    Roots are grouped by text within their target; records are in record order.
+    A target without roots has an empty list.
+    """
+    if seed is None:
+        seed = graph_seed(triples).first().seed
+    types = {name: config.type for name, config in setup.targets()}
+    drawn = written(sample_target_roots(triples, types, limit, seed), "sample")
+    item = F.struct("embedding_text", "iris", "label", "iri_count", "digest")
+    every = None
+    for name, config in setup.targets():
+        roots = drawn.where(F.col("target") == name).select("s")
+        records = group_documents(documents(triples, config, setup, name=name, roots=roots), cap)
+        one = records.agg(F.array_sort(F.collect_list(item)).alias("records")).select(F.lit(name).alias("target"), F.lit(config.type).alias("type"), "records")
+        every = one if every is None else every.unionByName(one)
+    return every
+
+
 def truncated(records: DataFrame, cap: int = IRI_CAP) -> DataFrame:
     """Records that stand for more IRIs than they list."""
     return records.where(F.col("iri_count") > cap)

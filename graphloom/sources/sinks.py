@@ -25,6 +25,11 @@ def write_text(records: DataFrame, path: str) -> None:
     records.select(record_text(F.col("label"), F.col("iris"), F.col("embedding_text")).alias("value")).write.text(path)
 
 
+def write_documents_text(documents: DataFrame, path: str) -> None:
+    """A folder of text files of documents in the older form: IRI, text and a rule."""
+    documents.select(F.concat_ws("\n", F.concat(F.lit("iri: "), "iri"), "embedding_text", F.lit(""), F.lit("---")).alias("value")).write.text(path)
+
+
 def write_json(rows: DataFrame, path: str | Path) -> int:
     """One JSON array, written row by row as rows arrive at the driver; their number."""
     n = 0
@@ -58,6 +63,21 @@ def write_samples_text(samples: DataFrame, path: str | Path) -> None:
             f.write("\n".join(sample_lines(row)) + "\n\n")
 
 
+def target_lines(row: Row) -> list[str]:
+    """A target's sampled records as text."""
+    out = [f"target: {row.target}", f"type: {row.type}", ""]
+    for r in row.records:
+        out += [f"label: {r.label}", "iris:", *(f"  - {i}" for i in r.iris), "", r.embedding_text, ""]
+    return [*out, "---", ""]
+
+
+def write_targets_text(samples: DataFrame, path: str | Path) -> None:
+    """Targets' sampled records as text; their size is bounded by the number of targets and the limit of the sample."""
+    with open(path, "w", encoding="utf-8") as f:
+        for row in samples.toLocalIterator():
+            f.write("\n".join(target_lines(row)) + "\n")
+
+
 def write_point_sample(points: DataFrame, path: str) -> None:
     """Points in zstd Parquet, a folder for each graph."""
     points.select(F.col("id").alias("point_id"), "label", "iri", "repr", "vector", "graph").write.option("compression", "zstd").partitionBy("graph").parquet(path)

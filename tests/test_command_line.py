@@ -3,6 +3,8 @@ import json
 import pytest
 
 from graphloom.__main__ import main
+from graphloom.operators import evaluate
+from graphloom.sources import sinks
 
 GRAPH = '''@prefix e: <http://e/> . @prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> .
 e:a a e:Drug ; rdfs:label "aspirin tablet" . e:b a e:Drug ; rdfs:label "iron supplement" . e:c a e:Drug ; rdfs:label "iron supplement" .'''
@@ -47,3 +49,27 @@ def test_sample(run, tmp_path):
     (found,) = json.loads((tmp_path / "s.json").read_text())
     assert (found["type"], found["count"], len(found["sample_iris"])) == ("http://e/Drug", 3, 2)
     assert run("sample", tmp_path / "drugs.hdt", tmp_path / "s.txt", "--format", "text")[2].startswith("error: hdt cannot be read here")
+
+
+def test_sampled_targets(run, spark, tmp_path):
+    (tmp_path / "drugs.ttl").write_text(GRAPH)
+    (tmp_path / "config.toml").write_text('[targets.drug]\ntype = "http://e/Drug"\n[targets.none]\ntype = "http://e/None"\n')
+    args = ("sample", tmp_path / "drugs.ttl")
+    assert run(*args, tmp_path / "t.json", "--config", tmp_path / "config.toml", "--limit", 3)[0] == 0
+    found = {r["target"]: r for r in json.loads((tmp_path / "t.json").read_text())}
+    assert [(r["label"], r["iris"]) for r in found["drug"]["records"]] == [("aspirin tablet", ["http://e/a"]), ("iron supplement", ["http://e/b", "http://e/c"])]
+    assert found["none"]["records"] == []
+    assert run(*args, tmp_path / "t.txt", "--config", tmp_path / "config.toml", "--limit", 1, "--format", "text")[0] == 0
+    text = (tmp_path / "t.txt").read_text()
+    assert text.count("target: ") == 2 and text.count("  - http://e/") == 1
+
+
+def test_kept_runs_and_older_text(spark, tmp_path):
+    hits = spark.createDataFrame([("q", "g", "knn", 1, "a", 0.9), ("q", "g", "knn", 2, "b", 0.1)], evaluate.RUN)
+    evaluate.write_run(hits, str(tmp_path / "run"))
+    assert sorted(evaluate.read_run(spark, str(tmp_path / "run")).collect()) == sorted(hits.collect())
+    points = spark.createDataFrame([("a", ["http://e/a"], "A", "g", "text")], "id string, iri array<string>, label string, graph string, repr string")
+    assert [(r.rank, r.label, r.iri) for r in evaluate.top_rows(hits, points, 1).collect()] == [(1, "A", ["http://e/a"])]
+    assert [r.label for r in evaluate.top_rows(hits, points, 2).orderBy("rank").collect()] == ["A", None]
+    sinks.write_documents_text(spark.createDataFrame([("http://e/a", "x: 1")], "iri string, embedding_text string"), str(tmp_path / "text"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "text")).collect()] == ["iri: http://e/a", "x: 1", "", "---"]
