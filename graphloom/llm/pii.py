@@ -6,7 +6,8 @@ Their digits, or the day a date stands for, go through a keyed Feistel network
 over just the values of that format, walked in a cycle until the result is
 valid again.  The network is a permutation: equal values get equal pseudonyms
 in all documents, different values different ones, and check digits stay right.
-Separators, length and layout stay as they were.
+Separators, length and layout stay as they were.  An e-mail address is the
+exception: its local part becomes a keyed tag of 64 bits.
 
 Rounds use SHA-256 of the key, so a pseudonym tells nothing without it.  One
 row at a time: no shuffle and nothing collected.  Null texts stay null; an
@@ -21,8 +22,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-#: Most steps of a cycle walk; each step fails with a chance of two thirds at most.
-WALK = 64
+#: Steps of a lap of a cycle walk and laps; each step fails with a chance of two
+#: thirds at most, and a walk that has not ended then is an error.
+WALK, LAPS = 64, 64
 
 # The layouts of each kind.
 PATTERNS = {
@@ -114,10 +116,14 @@ def _cycle(value: Column, step, valid) -> Column:
     begin = F.struct(step(value).alias("v"), F.lit(False).alias("done"))
 
     def walk(s: Column, _: Column) -> Column:
-        ok = s.done | valid(s.v)
+        ok = F.coalesce(s.done | valid(s.v), F.lit(True))
         return F.struct(F.when(ok, s.v).otherwise(step(s.v)).alias("v"), ok.alias("done"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), begin, walk, lambda s: s.v)
+    def lap(s: Column, _: Column) -> Column:
+        return F.when(s.done, s).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), s, walk))
+
+    unended = F.raise_error(F.lit(f"no valid pseudonym in {WALK * LAPS} steps"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(LAPS)), begin, lap, lambda s: F.when(s.done, s.v).otherwise(unended))
 
 
 def luhn_sum(digits: Column) -> Column:
@@ -244,6 +250,8 @@ def _mod97(a: Column, c: Column) -> Column:
 
 
 _KINDS = {"email": email, "iban": iban, "date": date, "ip": ip, "ssn": ssn, "card": card, "phone": phone}
+
+
 def _valid(kind: str, value: Column) -> Column:
     if kind == "ip":
         return F.forall(F.split(value, r"\."), lambda x: x.cast("int") <= 255)

@@ -265,3 +265,14 @@ def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     for made in (pii.pseudonymise(df, KEY), quality.with_features(df), quality.quality_cascade(df)):
         assert not re.search("Python|Arrow|Pandas", made._jdf.queryExecution().executedPlan().toString())
+
+
+def test_a_walk_ends_at_a_valid_value_or_in_an_error(spark):
+    def walked(size):
+        return spark.range(2).select(pii._cycle(F.col("id") * 0, lambda v: (v + 1) % size, lambda v: v == 0).alias("v"))
+
+    assert [r.v for r in walked(3000).collect()] == [0, 0]
+    with pytest.raises(Exception, match="no valid pseudonym"):
+        walked(5000).collect()
+    nothing = spark.sql("SELECT CAST(NULL AS BIGINT) AS v").select(pii._cycle(F.col("v"), lambda v: v + 1, lambda v: v == 0).alias("v"))
+    assert nothing.first().v is None
