@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.terms import IRI, LITERAL, RDF_TYPE
 from ..functions.text import best_label
+from ..sources.tables import written
 from .config import GraphConfig
 from .labels import predicate_texts
 from .scan import first_literal, root_iris, type_pairs
@@ -106,14 +107,29 @@ def sample_objects(triples: DataFrame, edges: DataFrame, limit: int = SUBJECTS)
 
 
 def sample_types(triples: DataFrame, limit: int = SUBJECTS, values: int = VALUES, seed: str | None = None) -> DataFrame:
-    """One nested row per type: label, count, sampled subjects, and what they say."""
+    """One nested row per type: label, count, sampled subjects, and what they say.
+
+    The graph is read four times: for types, edges of the sampled subjects, what
+    their objects say, and literals that name any of these.  Each is written, so
+    that the joins that nest them never meet the whole graph.
+    """
     if seed is None:
         seed = graph_seed(triples).first().seed
     config = GraphConfig()
-    samples = type_samples(triples, seed, limit)
-    edges = sampled_edges(triples, samples)
-    texts = predicate_texts(triples, triples.select("p"), config).select(F.col("p").alias("predicate"), F.col("text").alias("label"))
-    literal = first_literal(triples, config.effective_label_predicates())
+    lists = type_samples(triples, seed, limit).groupBy("type").agg(F.array_sort(F.collect_list("s")).alias("sample_iris"))
+    heads = written(type_counts(triples).join(lists, "type"), "sampled-types")
+    samples = heads.select("type", F.explode("sample_iris").alias("s"))
+    edges = written(sampled_edges(triples, samples), "sampled-edges")
+    objects = written(edges.where(F.col("o_kind") == IRI).select(F.col("o").alias("s")).distinct(), "sampled-objects")
+    around = written(triples.where((F.col("o_kind") == LITERAL) | (F.col("p") == RDF_TYPE)).join(objects, "s", "left_semi"), "around-objects")
+    predicates = edges.select("p").union(around.select("p")).distinct()
+    shown = [predicates, heads.select("type"), around.where(F.col("p") == RDF_TYPE).select("o"), objects]
+    shown = written(reduce(DataFrame.union, shown).toDF("s").distinct(), "shown-terms")
+    label_predicates = config.effective_label_predicates()
+    naming = triples.where((F.col("o_kind") == LITERAL) & F.col("p").isin(*label_predicates))
+    naming = written(naming.join(shown, "s", "left_semi"), "naming")
+    texts = predicate_texts(naming, predicates, config).select(F.col("p").alias("predicate"), F.col("text").alias("label"))
+    literal = first_literal(naming, label_predicates)
 
     def ordered(rows: DataFrame, keys: list[str], name: str, *fields: str) -> DataFrame:
         """Rows nested in a list, most frequent first."""
@@ -122,14 +138,13 @@ def sample_types(triples: DataFrame, limit: int = SUBJECTS, values: int = VALUES
 
     lits = ordered(literal_predicates(edges, samples, values).join(texts, "predicate"), ["type"], "literal_predicates", "predicate", "label", "count", "mean_per_subject", "values")
     keys = ["type", "predicate"]
-    typed = object_types(triples, edges).join(literal, F.col("object_type") == F.col("node"), "left").withColumn("label", best_label(F.lit(IRI), F.col("object_type"), F.col("literal")))
+    typed = object_types(around, edges).join(literal, F.col("object_type") == F.col("node"), "left").withColumn("label", best_label(F.lit(IRI), F.col("object_type"), F.col("literal")))
     typed = ordered(typed, keys, "object_types", "object_type", "label", "count")
-    said = object_label_predicates(triples, edges, values).join(texts.withColumnRenamed("predicate", "label_predicate"), "label_predicate")
+    said = object_label_predicates(around, edges, values).join(texts.withColumnRenamed("predicate", "label_predicate"), "label_predicate")
     said = ordered(said, keys, "object_label_predicates", "label_predicate", "label", "count", "values")
-    shown = sample_objects(triples, edges, limit).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("iri", "label", "types"))).alias("sample_objects"))
-    objs = object_predicates(edges, samples).join(texts, "predicate").join(typed, keys, "left").join(said, keys, "left").join(shown, keys, "left")
+    few = sample_objects(around, edges, limit).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("iri", "label", "types"))).alias("sample_objects"))
+    objs = object_predicates(edges, samples).join(texts, "predicate").join(typed, keys, "left").join(said, keys, "left").join(few, keys, "left")
     objs = ordered(objs, ["type"], "object_predicates", "predicate", "label", "count", "mean_per_subject", "object_types", "object_label_predicates", "sample_objects")
-    heads = type_counts(triples).join(samples.groupBy("type").agg(F.array_sort(F.collect_list("s")).alias("sample_iris")), "type")
     heads = heads.join(literal, F.col("type") == F.col("node"), "left").withColumn("label", best_label(F.lit(IRI), F.col("type"), F.col("literal"))).drop("node", "literal")
     return heads.join(lits, "type", "left").join(objs, "type", "left").orderBy("type")
 
