@@ -1,13 +1,13 @@
 """Secrets in texts: fixed patterns, and a linear-chain conditional random field.
 
 Tokens are runs of ``[A-Za-z0-9+/_~.-]`` with up to two ``=`` behind, and runs of other visible characters.
-The field tags each token as begin, inside or outside of a secret from its
+The field tags every token as begin, inside or outside of a secret from its
 shape, the words beside it and features of the whole file, and Viterbi finds
-the best tags.  A token can be (part of) a secret if it is long and has a letter
-and a digit, or if a word like ``pwd`` with a colon or equals sign, or ``Bearer``,
-names it, when it may be shorter and of letters alone.  Any other can only be
-outside, so the chain falls apart there and only the runs between are decoded;
-the result is that of the whole chain.
+the best tags of the whole text.  The score of each token's shape is worked out
+once for each word.  Where even the most that any words beside it and any tags
+next to it could add leaves a token outside, it is outside in the best chain,
+and only the runs between such tokens are scored in full and decoded: the
+result is that of the whole chain.
 
 The field is trained on invented lines that ``training_lines`` makes from a
 seed; its weights have a fixed size and are broadcast.  Documents are handled
@@ -22,6 +22,7 @@ import random
 import re
 import string
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,8 +35,10 @@ from pyspark.sql import types as T
 KINDS = ("assign", "access", "hex", "learned")
 #: Hashed features, training lines, rounds of training and the seed of both.
 FEATURES, LINES, ROUNDS, SEED = 1 << 13, 2400, 150, 17
-#: Shortest token that may be (part of) a learned secret: by itself, where an assignment names it, and behind ``Bearer``.
-LEAST_CHARS, LEAST_NAMED, LEAST_BEARER = 12, 6, 12
+#: Words and characters of words whose scores a worker holds at most between texts.
+MOST_WORDS, MOST_CHARS = 1 << 18, 1 << 24
+#: Tokens of a text bounded at once.
+BLOCK = 1 << 16
 
 _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -43,11 +46,7 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _KEYS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 _RUN = r"A-Za-z0-9+/_~.\-"
-_FROM_DIGIT = re.compile(rf"[0-9][{_RUN}]*={{0,2}}")
-_BEFORE = re.compile(rf"[{_RUN}]*\Z")
-_VALUE = re.compile(rf"""[:=][=>]?\x20{{0,2}}["']?([{_RUN}]{{{LEAST_NAMED},}}={{0,2}})""")
-_BEARER = re.compile(rf"earer\x20{{1,2}}([{_RUN}]{{{LEAST_BEARER},}}={{0,2}})")
-_NAME = re.compile(r"""(?:[a-z]+|[A-Z][a-z]*|[A-Z]+)["']?\x20{0,2}\Z""")
+_TOKEN = re.compile(rf"[{_RUN}]+={{0,2}}|[^\s{_RUN}]+")
 _WORDS = re.compile(r"[A-Za-z]+|[^\sA-Za-z]")
 _SHORT = re.compile(r"[a-z]+|[A-Z]+|[0-9]+|[^a-zA-Z0-9]+")
 
@@ -72,53 +71,23 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 # -- tokens and features -----------------------------------------------------
 
 
-def _named(text: str) -> list[tuple[int, int]]:
-    """Tokens that an assignment to a cue word or ``Bearer`` names."""
-    out = []
-    for m in _VALUE.finditer(text):
-        name = _NAME.search(text[max(0, m.start() - 24) : m.start()])
-        if name and name[0].rstrip(" \"'").lower() in CUES:
-            out.append(m.span(1))
-    if "earer" in text:
-        out += [m.span(1) for m in _BEARER.finditer(text) if text[m.start() - 1 : m.start()] in ("b", "B")]
-    return [(a, b) for a, b in out if any(c.isalpha() for c in text[a:b])]
-
-
-def candidates(text: str) -> list[tuple[int, int]]:
-    """Tokens that can be secrets: long ones with a letter and a digit, and those that are named."""
-    out: list[tuple[int, int]] = []
-    done = 0
-    for m in _FROM_DIGIT.finditer(text):
-        if m.start() < done:
-            continue
-        back = m.start()
-        while True:  # the run may start well before its first digit
-            low = max(done, back - 64)
-            back = low + _BEFORE.search(text[low:back]).start()
-            if back > low or low == done:
-                break
-        done = m.end()
-        word = text[back:done]
-        if len(word) >= LEAST_CHARS and not word.isdigit() and any(c.isalpha() for c in word):
-            out.append((back, done))
-    if named := _named(text):
-        found, out = sorted({*out, *named}), []
-        for a, b in found:
-            if not out or a >= out[-1][1]:
-                out.append((a, b))
-    return out
+def tokens(text: str) -> list[tuple[int, int]]:
+    """Start and end of every token."""
+    return [m.span() for m in _TOKEN.finditer(text)]
 
 
+@lru_cache(maxsize=1)
 def _entropy(word: str) -> float:
-    return -sum(n / len(word) * math.log2(n / len(word)) for n in Counter(word).values())
+    return math.log2(len(word)) - sum(n * math.log2(n) for n in map(word.count, set(word))) / len(word) if len(word) < 1000 else -sum(n / len(word) * math.log2(n / len(word)) for n in Counter(word).values())
 
 
 def shape_features(word: str) -> list[str]:
     """What a token looks like."""
     runs = _SHORT.findall(word)
     kinds = "".join("a" if r[0].islower() else "A" if r[0].isupper() else "9" if r[0].isdigit() else r[0] for r in runs)
-    letters = sum(c.isalpha() for c in word)
-    vowels = sum(c in "aeiouAEIOU" for c in word)
+    digits = sum(map(word.count, string.digits)) if word.isascii() else sum(c.isdigit() for c in word)
+    letters = sum(len(r) for r in runs if r[0].isalpha()) if word.isascii() else sum(c.isalpha() for c in word)
+    vowels = sum(map(word.count, "aeiouAEIOU"))
     return [
         f"len={min(len(word) // 4, 12)}",
         f"runs={min(len(runs), 12)}",
@@ -127,13 +96,13 @@ def shape_features(word: str) -> list[str]:
         f"head={word[:3]}",
         f"set={''.join(sorted(set(kinds)))}",
         f"entropy={round(_entropy(word) * 2)}",
-        f"digits={sum(c.isdigit() for c in word) * 5 // len(word)}",
+        f"digits={digits * 5 // len(word)}",
         f"vowels={vowels * 5 // max(1, letters)}",
         f"dots={min(word.count('.'), 4)}",
         f"dashes={min(word.count('-'), 5)}",
         f"slashes={min(word.count('/'), 4)}",
         f"longest={min(max(map(len, runs)) // 3, 8)}",
-        f"upper={any(c.isupper() for c in word)}",
+        f"upper={word != word.lower()}",
     ]
 
 
@@ -149,6 +118,11 @@ def file_features(text: str) -> list[str]:
 _LETTER = frozenset(string.ascii_letters).__contains__
 
 
+def _mark(word: str) -> str:
+    """A neighbouring character that is no letter; those beyond ASCII are one."""
+    return "" if word[0].isalpha() else word if word.isascii() else "other"
+
+
 def token_features(text: str, start: int, end: int) -> list[str]:
     """Shape of a token and the words around it."""
     low = max(0, start - 60)
@@ -161,9 +135,9 @@ def token_features(text: str, start: int, end: int) -> list[str]:
     for i, w in enumerate(reversed(words)):
         out.append(f"word-{i + 1}={w if w in CUES else 'other'}")
     out.append(f"cue={any(w in CUES for w in words)}")
-    out.append(f"mark={before[-1] if before and not before[-1].isalpha() else ''}")
-    out.append(f"next={after[0] if after and not after[0].isalpha() else ''}")
-    out.append("both=" + str(any(w in CUES for w in words)) + "/" + str(round(_entropy(text[start:end]))))
+    out.append(f"mark={_mark(before[-1]) if before else ''}")
+    out.append(f"next={_mark(after[0]) if after else ''}")
+    out.append(f"both={any(w in CUES for w in words)}/{round(_entropy(text[start:end]))}")
     return out
 
 
@@ -171,17 +145,6 @@ def _hashed(features: list[str]) -> np.ndarray:
     return np.array([zlib.crc32(f.encode()) % FEATURES for f in features], dtype=np.int64)
 
 
-def chains(text: str) -> list[list[tuple[int, int]]]:
-    """Runs of neighbouring candidate tokens; between two runs some token is outside."""
-    out: list[list[tuple[int, int]]] = []
-    for span in candidates(text):
-        if out and not text[out[-1][-1][1] : span[0]].strip():
-            out[-1].append(span)
-        else:
-            out.append([span])
-    return out
-
-
 # -- the field -----------------------------------------------------------------
 
 
@@ -214,8 +177,14 @@ def training_lines(seed: int = SEED, lines: int = LINES) -> list[tuple[str, list
     def word() -> str:
         return "".join(rng.choice(["an", "er", "the", "on", "ti", "st", "re", "in", "ou", "ble", "qu", "ei", "sch", "ción"]) for _ in range(rng.randint(1, 4)))
 
+    def spoken() -> str:
+        """A word as it stands in a sentence."""
+        w, how = word(), rng.random()
+        w = w.capitalize() if how < 0.15 else w.upper() if how < 0.2 else str(rng.randint(1, 9999)) if how < 0.26 else rng.choice("aAI&") if how < 0.3 else w
+        return w + rng.choice(["", "", "", "", "", ".", ",", ".", ";", "..."])
+
     def words(n: int) -> str:
-        return " ".join(word() for _ in range(n))
+        return " ".join(spoken() for _ in range(n))
 
     def r(alphabet: str, a: int, b: int) -> str:
         return _random(rng, alphabet, a, b)
@@ -226,7 +195,7 @@ def training_lines(seed: int = SEED, lines: int = LINES) -> list[tuple[str, list
     ]
     plain = [
         lambda: f"{rng.randint(1, 255)}.{rng.randint(0, 255)}.{rng.randint(0, 255)}.{rng.randint(0, 255)}", lambda: f"mail{rng.randint(1, 99)}.example.com", lambda: f"{word()}.{rng.randint(1, 99)}",
-        lambda: f"https://www.{word()}.org/{word()}/{rng.randint(1, 99999)}.html".replace(":", ""), lambda: f"/usr/lib/{word()}/{word()}{rng.randint(1, 9)}.so", lambda: f"{word()}-{rng.randint(1, 20)}.{rng.randint(0, 20)}.{rng.randint(0, 9)}.tar.gz",
+        lambda: f"https://www.{word()}.org/{word()}/{rng.randint(1, 99999)}.html".replace(":", ""), lambda: f"https://www.{word()}.{rng.choice(['org', 'com'])}/{word()}/{word()}-{rng.randint(1, 9999)}{rng.choice(['', '.html'])}", lambda: f"/usr/lib/{word()}/{word()}{rng.randint(1, 9)}.so", lambda: f"{word()}-{rng.randint(1, 20)}.{rng.randint(0, 20)}.{rng.randint(0, 9)}.tar.gz",
         lambda: f"20{rng.randint(10, 29)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}T{rng.randint(10, 23)}", lambda: "-".join(r(hexa, n, n) for n in (8, 4, 4, 4, 12)), lambda: f"{word()}_{word()}_{rng.randint(1, 99)}", lambda: f"{word().capitalize()}{word().capitalize()}{rng.randint(1, 9)}",
         lambda: f"{r(up, 3, 4)}-{rng.randint(1000, 9999)}-{word()}", lambda: f"{word()}{rng.randint(1900, 2030)}", lambda: f"v{rng.randint(1, 9)}.{rng.randint(0, 99)}.{rng.randint(0, 99)}-beta{rng.randint(1, 9)}", lambda: f"{rng.randint(10**15, 10**16)}{rng.choice(['', 'x', 'th'])}", lambda: f"{word()}.{word()}{rng.randint(1, 99)}.{word()}",
         lambda: f"{word()}...{word()}{rng.randint(0, 9)}", lambda: f"{rng.randint(1, 99)}-{word()}-{word()}", lambda: f"{word()}/{word()}/{rng.randint(1, 9)}{word()}", lambda: f"0{rng.randint(0, 7)}/{rng.randint(10, 29)}/20{rng.randint(10, 30)}and{word()}",
@@ -243,7 +212,7 @@ def training_lines(seed: int = SEED, lines: int = LINES) -> list[tuple[str, list
         kind = rng.random()
         if kind > 0.68:
             text += " " + rng.choice(name)
-            value = rng.choice(short)() if kind > 0.84 else rng.choice(dull)()
+            value = rng.choice(short)() if kind > 0.84 else rng.choice(dull)() + rng.choice(["", "", ".", ". " + word().capitalize(), " " + word()])
             if kind > 0.84:
                 spans.append((len(text), len(text) + len(value)))
             text += value + rng.choice(["", "", '"', ","])
@@ -270,13 +239,12 @@ def _examples(lines: list[tuple[str, list[tuple[int, int]]]]) -> list[tuple[list
     out = []
     for text, spans in lines:
         inside = file_features(text)
-        for chain in chains(text):
-            tags, last = [], OUT
-            for start, end in chain:
-                hit = any(start < b and a < end for a, b in spans)
-                tags.append((INSIDE if last != OUT else BEGIN) if hit else OUT)
-                last = tags[-1]
-            out.append(([_hashed(token_features(text, a, b) + inside) for a, b in chain], tags))
+        chain, tags, last = tokens(text), [], OUT
+        for start, end in chain:
+            hit = any(start < b and a < end for a, b in spans)
+            tags.append((INSIDE if last != OUT else BEGIN) if hit else OUT)
+            last = tags[-1]
+        out.append(([_hashed(token_features(text, a, b) + inside) for a, b in chain], tags))
     return out
 
 
@@ -285,13 +253,14 @@ def train(lines: list[tuple[str, list[tuple[int, int]]]] | None = None, rounds:
     examples = _examples(training_lines() if lines is None else lines)
     n, most = len(examples), max(len(t) for _, t in examples)
     width = max(len(f) for fs, _ in examples for f in fs)
-    feats = np.full((n, most, width), FEATURES, dtype=np.int64)
     gold = np.zeros((n, most), dtype=np.int64)
     length = np.array([len(t) for _, t in examples])
-    for i, (fs, tags) in enumerate(examples):
+    on = np.arange(most)[None, :] < length[:, None]
+    feats = np.full((int(length.sum()), width), FEATURES, dtype=np.int64)  # of the tokens there are, line by line
+    for i, (_, tags) in enumerate(examples):
         gold[i, : len(tags)] = tags
-        for j, f in enumerate(fs):
-            feats[i, j, : len(f)] = f
+    for j, f in enumerate(f for fs, _ in examples for f in fs):
+        feats[j, : len(f)] = f
     w, m = np.zeros((FEATURES + 1, 3)), np.zeros((3, 3))
     forbidden = np.zeros((3, 3))
     forbidden[OUT, INSIDE] = -1e4
@@ -300,8 +269,8 @@ def train(lines: list[tuple[str, list[tuple[int, int]]]] | None = None, rounds:
     for step in range(1, rounds + 1):
         w[FEATURES] = 0
         moves = m + forbidden
-        score = w[feats].sum(axis=2)
-        on = np.arange(most)[None, :] < length[:, None]
+        score = np.zeros((n, most, 3))
+        score[on] = sum(w[feats[:, k]] for k in range(width))
         alpha, beta = np.zeros((n, most, 3)), np.zeros((n, most, 3))
         alpha[:, 0] = score[:, 0] + moves[OUT]
         for j in range(1, most):
@@ -312,8 +281,8 @@ def train(lines: list[tuple[str, list[tuple[int, int]]]] | None = None, rounds:
             beta[:, j] = np.where((j + 1 < length)[:, None], more, moves[:, OUT])
         total = np.logaddexp.reduce(alpha[rows, length - 1] + moves[:, OUT], axis=1)
         chance = np.exp(alpha + beta - total[:, None, None])
-        error = (chance - np.eye(3)[gold]) * on[:, :, None]
-        gw = np.stack([np.bincount(feats.ravel(), np.repeat(error[:, :, k].ravel(), width), FEATURES + 1) for k in range(3)], axis=1) / n + decay * w
+        error = (chance - np.eye(3)[gold])[on]
+        gw = np.stack([np.bincount(feats.ravel(), np.repeat(error[:, k], width), FEATURES + 1) for k in range(3)], axis=1) / n + decay * w
         gm = np.zeros((3, 3))
         gm[OUT] += chance[:, 0].sum(axis=0) - np.bincount(gold[:, 0], minlength=3)
         last = chance[rows, length - 1]
@@ -339,20 +308,123 @@ def trained() -> tuple[np.ndarray, np.ndarray]:
     return train()
 
 
+def _gain(weights: np.ndarray, features: list[str]) -> np.ndarray:
+    """What features add to begin and to inside, over outside."""
+    rows = weights[_hashed(features)]
+    return (rows[:, BEGIN:] - rows[:, OUT:BEGIN]).sum(axis=0)
+
+
+class Bounds(dict):
+    """Which tokens can be other than outside: by word, its row in ``rows``.
+
+    Where best tags are not outside, they lose nothing up to the next token that
+    is, or outside all the way would be better.  So a token is outside if for it
+    and any number of tokens behind it the most they can gain is below nothing.
+    Their scores are known but for words before a token, where the most that they
+    can add counts, and long white space, where a neighbouring character counts or
+    none.
+    """
+
+    def __init__(self, weights: np.ndarray, moves: np.ndarray) -> None:
+        self.weights, self.moves, self.gains = weights, moves, {}
+        cues = [np.array([_gain(weights, [f"word-{i}={w}"]) for w in sorted(CUES)]) for i in (1, 2, 3)]
+        other = [_gain(weights, [f"word-{i}=other"])[None] for i in (1, 2, 3)]
+        self.words = []  # by whether a cue is among the words before: most begin, most inside
+        for cue in (False, True):
+            base, ends = _gain(weights, [f"cue={cue}"]), []
+            for n in range(4):
+                for cued in range(1 << n):
+                    if bool(cued) == cue:
+                        parts = [base[None], *(cues[i] if cued >> i & 1 else other[i] for i in range(n))]
+                        ends.append(sum(x.max(axis=0) for x in parts))
+            self.words.append(np.max(ends, axis=0)[:, None])
+        self.none = [_gain(weights, [f"{side}="]) for side in ("mark", "next")]
+        self.enter = (moves[:, BEGIN:].max(axis=0) - moves[OUT, OUT])[:, None]
+        self.leave = moves[BEGIN:, OUT].max() - moves[:, OUT].min()
+        self.rows, self.chars = array("d"), 0
+
+    def gain(self, feature: str) -> tuple[float, float]:
+        """What one feature adds, kept; there are few but for those of heads and kinds, of up to six characters."""
+        if feature not in self.gains:
+            if len(self.gains) > MOST_WORDS:
+                self.gains.clear()
+            self.gains[feature] = tuple(_gain(self.weights, [feature]).tolist())
+        return self.gains[feature]
+
+    def __missing__(self, word: str) -> int:
+        begin = inside = 0.0
+        for f in shape_features(word):
+            g = self.gain(f)
+            begin, inside = begin + g[0], inside + g[1]
+        entropy, row = round(_entropy(word)), []
+        for cue in (False, True):
+            g = self.gain(f"both={cue}/{entropy}")
+            row += [begin + g[0], inside + g[1]]
+        row += [*self.gain(f"mark={_mark(word[-1])}"), *self.gain(f"next={_mark(word[0])}")]
+        parts = [w for w in _WORDS.findall(word) if w[0].isalpha()]
+        self.rows.extend([*row, len(parts), any(w.lower() in CUES for w in parts)])
+        self[word] = len(self)
+        self.chars += len(word)
+        return len(self) - 1
+
+    def open(self, text: str, whole: list[str]) -> np.ndarray:
+        """Places of the tokens that can be other than outside, given the features of the text; a hair's breadth counts as open."""
+        if len(self) > MOST_WORDS or self.chars > MOST_CHARS:
+            self.clear()
+            self.rows, self.chars = array("d"), 0
+        at = np.fromiter((self[m[0]] for m in _TOKEN.finditer(text)), np.int64)
+        if not len(at):
+            return at
+        table = np.frombuffer(self.rows).reshape(-1, 10)
+        gain, beside = np.empty(len(at)), np.array([self.gain(f) for f in whole]).sum(axis=0)[:, None] + self.enter
+        before, behind = (x[:, None] for x in self.none)
+        spoken, cued = 0.0, -9.0  # words so far, and how many at the last token with a cue
+        for low in range(0, len(at), BLOCK):
+            high = low + BLOCK
+            rows = table[at[low:high]].T
+            most = rows[0:2] + self.words[0]
+            so_far = spoken + np.cumsum(rows[8])
+            last = np.maximum.accumulate(np.where(rows[9] > 0, so_far, cued))
+            near = np.append(spoken, so_far[:-1]) - np.append(cued, last[:-1]) < 3
+            if near.any():
+                most[:, near] = np.maximum(most, rows[2:4] + self.words[1])[:, near]
+            spoken, cued = so_far[-1], last[-1]
+            marks = np.hstack([table[at[low - 1], 4:6][:, None] if low else before, rows[4:6, :-1]])
+            nexts = np.hstack([rows[6:8, 1:], table[at[high], 6:8][:, None] if high < len(at) else behind])
+            gain[low:high] = (most + np.maximum(marks, before) + np.maximum(nexts, behind) + beside).max(axis=0)
+        total = np.append(0.0, np.cumsum(gain))
+        best = np.maximum.accumulate(total[:0:-1])[::-1] - total[:-1]  # of runs that begin at a token
+        return np.flatnonzero(best + self.leave > -1e-6)
+
+
+_bounds: list[Bounds] = []
+
+
+def bounds(weights: np.ndarray, moves: np.ndarray) -> Bounds:
+    """The bounds of a field; those of the last one are kept."""
+    if not _bounds or _bounds[0].weights is not weights or _bounds[0].moves is not moves:
+        _bounds[:] = [Bounds(weights, moves)]
+    return _bounds[0]
+
+
 def learned_spans(text: str, weights: np.ndarray, moves: np.ndarray) -> list[tuple[int, int]]:
     """Spans that the field tags, whole secrets over one or more tokens."""
     out: list[tuple[int, int]] = []
-    found = chains(text)
-    if not found:
+    if not text:
         return out
     inside = file_features(text)
-    for chain in found:
-        scores = np.array([weights[_hashed(token_features(text, a, b) + inside)].sum(axis=0) for a, b in chain])
-        for (a, b), tag in zip(chain, viterbi(scores, moves), strict=True):
+    places = bounds(weights, moves).open(text, inside)
+    if not len(places):
+        return out
+    wanted = set(places.tolist())
+    spans = {i: m.span() for i, m in enumerate(_TOKEN.finditer(text)) if i in wanted}
+    for chain in np.split(places, np.flatnonzero(np.diff(places) > 1) + 1):
+        scores = np.array([weights[_hashed(token_features(text, *spans[i]) + inside)].sum(axis=0) for i in chain])
+        for i, tag in zip(chain, viterbi(scores, moves), strict=True):
             if tag == BEGIN:
-                out.append((a, b))
+                out.append(spans[i])
             elif tag == INSIDE and out:
-                out[-1] = (out[-1][0], b)
+                out[-1] = (out[-1][0], spans[i][1])
     return out
 
 

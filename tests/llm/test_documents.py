@@ -120,6 +120,38 @@ def test_field_on_written_lines():
     assert (sum(found) >= len(WRITTEN) - 1, extra, wrong) == (True, [], [])
 
 
+def whole_chain(text, weights, moves):
+    """Spans where every token is scored in full and the whole text is one chain."""
+    import numpy as np
+
+    out, spans = [], secrets.tokens(text)
+    inside = secrets.file_features(text)
+    scores = np.array([weights[secrets._hashed(secrets.token_features(text, a, b) + inside)].sum(axis=0) for a, b in spans])
+    for (a, b), tag in zip(spans, secrets.viterbi(scores, moves) if spans else [], strict=True):
+        if tag == secrets.BEGIN:
+            out.append((a, b))
+        elif tag == secrets.INSIDE and out:
+            out[-1] = (out[-1][0], b)
+    return out
+
+
+@pytest.mark.parametrize("block", [3, 1 << 16])
+def test_every_token_is_scored(monkeypatch, block):
+    import numpy as np
+
+    monkeypatch.setattr(secrets, "BLOCK", block)
+    lines = [x for x, _ in WRITTEN] + ORDINARY + [x for x, _ in secrets.training_lines(seed=5, lines=60)]
+    texts = [*lines, " ".join(lines), "a" + " " * 90 + "key: b", "key é: größe"]
+    weights, moves = secrets.trained()
+    assert [secrets.learned_spans(x, weights, moves) for x in texts] == [whole_chain(x, weights, moves) for x in texts]
+    assert [secrets.learned_spans(x, weights.copy(), moves) for x in ("", " \n", "x")] == [[], [], []]
+    other = weights + np.random.default_rng(3).normal(size=weights.shape) * 0.5
+    assert [secrets.learned_spans(x, other, moves) for x in texts] == [whole_chain(x, other, moves) for x in texts]
+    want = weights.copy()  # a field that wants a short word of letters that nothing names
+    want[secrets._hashed(["head=mor"]), secrets.BEGIN] += 60
+    assert [ORDINARY[0][a:b] for a, b in secrets.learned_spans(ORDINARY[0], want, moves)] == ["morning"]
+
+
 def test_no_neighbouring_word_is_cut():
     value = "Zk3vQ9xLw2Rt7Yb5Nc8M"
     assert secrets.token_features(f"{'m' * 90}key {value}", 94, 114) == secrets.token_features(f"{'m' * 9}key {value}", 13, 33)
